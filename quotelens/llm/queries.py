@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import mixing, ngram_join, quality_rules, repeat_dedup
 from .textcore import documents
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir)).drop("node")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_documents(documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -19,6 +23,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).drop("lang", "source")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_dedup.repeat_dedup(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

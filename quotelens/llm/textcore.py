@@ -96,10 +96,10 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     short = np.flatnonzero((counts > 0) & (counts < k))
     values = {}
     for d in short:
-        h = U64(0)
-        for j, w in enumerate(hashes[first[d] : first[d + 1]]):
-            h = mix(h * U64(_BASE) + w + U64(j + 1 + 1000 * counts[d]))
-        values[d] = h
+        h = np.zeros(1, dtype=U64)
+        for j in range(counts[d]):
+            h = mix(h * U64(_BASE) + hashes[first[d] + j] + U64(j + 1 + 1000 * counts[d]))
+        values[d] = h[0]
         keep[first[d]] = True
     out = whole.copy()
     for d, h in values.items():
@@ -111,12 +111,9 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def unique_sets(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each text's slice, and the new offsets."""
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((values, doc))
-    v, d = values[order], doc[order]
-    keep = np.ones(len(v), dtype=bool)
-    keep[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
-    return v[keep], np.concatenate([[0], np.cumsum(np.bincount(d[keep], minlength=len(first) - 1))]).astype(np.int64)
+    sets = [np.unique(values[first[i] : first[i + 1]]) for i in range(len(first) - 1)]
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int64)
+    return np.concatenate(sets) if sets else values[:0], ends
 
 
 def crc32(text: str) -> int:
