@@ -39,7 +39,8 @@ class RepeatConfig:
     gram: int = 50  #: bytes of an anchor
     filter_bits: int = 27  #: the filter of repeated anchors has 2**filter_bits bits, whatever the input's size
     segment: int = 1 << 21  #: bytes looked at at once
-    hold: int = 48 << 20  #: context bytes that a task holds before it sends them
+    hold: int = 16 << 20  #: context bytes that a task holds before it sends them
+    spread: int = 4  #: buckets of contexts, and of documents, for each shuffle partition
 
 
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
@@ -290,7 +291,7 @@ def _merge(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 def removed_spans(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> DataFrame:
     """doc_id, text and spans (array of struct lo, hi: the maximal removed byte runs) of every document."""
     spark = docs.sparkSession
-    buckets = bucket_count(spark)
+    buckets = bucket_count(spark) * config.spread
     bitmap = spark.sparkContext.broadcast(repeated_anchors(docs, config))
     spans = _contexts(docs, bitmap, config, buckets).repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(config, buckets), "home int, blob binary")
     least = -(1 << 63)
