@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, quality_rules, repeat_dedup
-from .textcore import documents
+from . import compression, mixing, ngram_join, quality_rules, repeat_dedup
+from .textcore import documents, table
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +27,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).drop("lang", "source")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_dedup.repeat_dedup(documents(spark, sf_dir))
 
