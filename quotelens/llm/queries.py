@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import compression, mixing, ngram_join, quality_rules, repeat_dedup
+from . import compression, line_dedup, mixing, ngram_join, quality_rules, repeat_dedup
 from .textcore import documents, table
 
 
@@ -35,9 +36,14 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_dedup.repeat_dedup(documents(spark, sf_dir))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.mixing_sql()}
+    return {"op5_mixing": mixing.mixing_sql(), "op10_line_dedup": line_dedup.line_dedup_sql()}
