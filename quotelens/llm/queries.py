@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontamination, line_dedup, mixing, ngram_join, quality_rules, repeat_dedup
+from . import compression, decontamination, line_dedup, mixing, ngram_join, preference, quality_rules, repeat_dedup
 from .textcore import documents, table
 
 
@@ -32,6 +32,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).drop("lang", "source")
 
 
+def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preference.preference_pairs(table(spark, sf_dir, "conversations"))
+    return out.withColumns({c: preference.spans_text(c) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -50,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.mixing_sql(), "op10_line_dedup": line_dedup.line_dedup_sql()}
+    return {"op5_mixing": mixing.mixing_sql(), "op7_preference_formatting": preference.preference_sql(), "op10_line_dedup": line_dedup.line_dedup_sql()}
