@@ -5,9 +5,11 @@ without sorting all suffixes: every ``length``-byte window has an anchor, the le
 so equal windows have equal anchors at equal offsets.
 
 1. Anchors are counted over the whole corpus (44-bit prefixes, deduplicated per task before the shuffle); those seen
-   twice set a bit of a filter of fixed size. False positives cost work, never correctness.
-2. Windows whose anchor passes are sent, as the bytes around the anchor, to the anchor's bucket. Each task sends a
-   given context once, so one passage in all documents costs a bucket one row per task.
+   twice, and those seen in different contexts, set bits of two filters of fixed size. False positives cost work, never
+   correctness.
+2. Windows whose anchor repeats are sent to a bucket: by a hash of all their bytes where the anchor has one context only,
+   else by the anchor and with the bytes. Each task sends a given context once, so one passage in all documents costs a
+   bucket one row per task.
 3. In a bucket, windows of equal bytes are ordered by place; all but the first are repeats. Their spans go back to the
    documents, where they are merged and cut out.
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import _BYTE, _INV, _POW, _SPAN, U64, bucket_count, deltas, mix, pack, unpack
+from .textcore import _BYTE, _INV, _POW, _SPAN, U64, bucket_count, deltas, mix, pack, slice_hashes, unpack
 
 PREFIX = 44
 
@@ -36,11 +38,11 @@ PREFIX = 44
 @dataclass(frozen=True)
 class RepeatConfig:
     length: int = 100  #: bytes of a repeated string
-    gram: int = 50  #: bytes of an anchor
+    gram: int = 32  #: bytes of an anchor
     filter_bits: int = 27  #: the filter of repeated anchors has 2**filter_bits bits, whatever the input's size
     segment: int = 1 << 21  #: bytes looked at at once
     hold: int = 16 << 20  #: context bytes that a task holds before it sends them
-    spread: int = 4  #: buckets of contexts, and of documents, for each shuffle partition
+    spread: int = 2  #: buckets of contexts, and of documents, for each shuffle partition
 
 
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
@@ -100,6 +102,11 @@ class Anchors:
         self.start, self.place, self.segment = windows[at], place[at], segment[at]
         self.count = np.diff(np.append(at, len(windows)))
         self.hash = hashes[self.place]
+        self.length = config.length
+
+    def context(self) -> np.ndarray:
+        """A hash of all bytes of each run of windows."""
+        return slice_hashes(self.data, self.start, self.start + self.count + (self.length - 1))
 
 
 def segmented(source: Iterator[pa.RecordBatch], config: RepeatConfig) -> Iterator[tuple[list[bytes], list[tuple[int, int, int]]]]:
@@ -125,27 +132,33 @@ def segmented(source: Iterator[pa.RecordBatch], config: RepeatConfig) -> Iterato
 
 
 def text_digest(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little", signed=True)
 
 
-def repeated_anchors(docs: DataFrame, config: RepeatConfig) -> np.ndarray:
-    """The filter: a bit per prefix range, set where an anchor occurs twice or more in the corpus."""
+def repeated_anchors(docs: DataFrame, config: RepeatConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Two filters, a bit per prefix range: anchors that occur twice or more, and those in two or more contexts."""
     buckets = bucket_count(docs.sparkSession)
     shift = U64(PREFIX - config.filter_bits)
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            keys, seen = np.unique(np.concatenate(held), return_counts=True)
-            bucket = (keys * U64(buckets)) >> U64(PREFIX) if buckets < 1 << 19 else keys // U64((1 << PREFIX) // buckets + 1)
-            cuts = np.flatnonzero(np.diff(bucket, prepend=U64(1 << 62)))
-            ends = [*cuts[1:], len(keys)]
-            return pa.RecordBatch.from_pydict({"bucket": bucket[cuts].astype(np.int32), "blob": pa.array([pack(deltas(keys[i:j]), (seen[i:j] > 1).astype(np.uint8)) for i, j in zip(cuts, ends)], pa.binary())})
+            keys, context = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((context, keys))
+            keys, context = keys[order], context[order]
+            at = np.flatnonzero(_new((keys, context)))
+            many = np.diff(np.append(at, len(keys))) > 1
+            keys, context = keys[at], context[at]
+            bucket = keys // U64((1 << PREFIX) // buckets + 1)
+            cuts = np.flatnonzero(_new((bucket,)))
+            rows = [pack(deltas(keys[i:j]), context[i:j], many[i:j]) for i, j in zip(cuts, [*cuts[1:], len(keys)])]
+            return pa.RecordBatch.from_pydict({"bucket": bucket[cuts].astype(np.int32), "blob": pa.array(rows, pa.binary())})
 
         for segments, _ in segmented(source, config):
-            held.append(Anchors(segments, config).hash >> U64(64 - PREFIX))
-            if sum(map(len, held)) > 2_000_000:
+            a = Anchors(segments, config)
+            held.append((a.hash >> U64(64 - PREFIX), a.context() >> U64(24)))
+            if sum(len(h[0]) for h in held) > 1_000_000:
                 yield out()
                 held.clear()
         if held:
@@ -156,81 +169,80 @@ def repeated_anchors(docs: DataFrame, config: RepeatConfig) -> np.ndarray:
         if not parts:
             return
         keys = np.concatenate([np.cumsum(p[0], dtype=U64) for p in parts])
-        many = np.concatenate([p[1] for p in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, many = keys[order], many[order].astype(bool)
-        again = keys[1:][keys[1:] == keys[:-1]]
-        bits = np.unique(np.concatenate([again, keys[many]]) >> shift)
-        yield pa.RecordBatch.from_pydict({"blob": pa.array([pack(deltas(bits))], pa.binary())})
+        context, many = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        order = np.lexsort((context, keys))
+        keys, context, many = keys[order], context[order], many[order]
+        same = keys[1:] == keys[:-1]
+        again = np.unique(np.concatenate([keys[1:][same], keys[many]]) >> shift)
+        mixed = np.unique(keys[1:][same & (context[1:] != context[:-1])] >> shift)
+        yield pa.RecordBatch.from_pydict({"blob": pa.array([pack(deltas(again), deltas(mixed))], pa.binary())})
 
     dealt = docs.select("doc_id", "text").mapInArrow(count, "bucket int, blob binary")
     found = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(twice, "blob binary")
-    bitmap = np.zeros(1 << (config.filter_bits - 3), dtype=np.uint8)
-    # At most 2**filter_bits bits reach the driver, one bucket's at a time.
+    filters = [np.zeros(1 << (config.filter_bits - 3), dtype=np.uint8) for _ in range(2)]
+    # At most 2 x 2**filter_bits bits reach the driver, one bucket's at a time.
     for row in found.toLocalIterator():
-        bits = np.cumsum(unpack(row["blob"])[0], dtype=U64)
-        np.bitwise_or.at(bitmap, (bits >> U64(3)).astype(np.int64), np.left_shift(1, (bits & U64(7)).astype(np.uint8)).astype(np.uint8))
-    return bitmap
+        for bitmap, part in zip(filters, unpack(row["blob"])):
+            bits = np.cumsum(part, dtype=U64)
+            np.bitwise_or.at(bitmap, (bits >> U64(3)).astype(np.int64), np.left_shift(1, (bits & U64(7)).astype(np.uint8)).astype(np.uint8))
+    return filters[0], filters[1]
 
 
-def _contexts(docs: DataFrame, bitmap, config: RepeatConfig, buckets: int) -> DataFrame:
+def _send(filters, config: RepeatConfig, buckets: int):
+    """Runs of windows with repeated anchors, to buckets: a hash of the context where the anchor has but one, else its bytes."""
     shift = U64(64 - config.filter_bits)
 
-    def send(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated, several = filters.value
         held: list = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            key, doc, dig, start, count = (np.concatenate([h[i] for h in held]) for i in range(5))
-            data = np.concatenate([h[5] for h in held])
-            begin = np.concatenate([[0], np.cumsum(count + (config.length - 1))])
-            order = np.lexsort((start, dig, doc, key, (key >> U64(8)) % U64(buckets)))
-            order = order[_new((key[order], doc[order], dig[order], start[order]))]  # a row given twice is one document
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = key[order][1:] != key[order][:-1]
-            bucket = ((key >> U64(8)) % U64(buckets))[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=U64(buckets)))
-            rows, ids = [], []
+            mixed, bucket, whole, doc, dig, start, count, begin = (np.concatenate([h[i] for h in held]) for i in range(8))
+            data = b"".join([h[8] for h in held])
+            begin = np.where(mixed, begin + np.repeat(np.cumsum([0] + [len(h[8]) for h in held[:-1]]), [len(h[0]) for h in held]), 0)
+            order = np.lexsort((start, dig, doc, whole, mixed, bucket))
+            order = order[_new(tuple(x[order] for x in (whole, doc, dig, start)))]  # a row given twice is one document
+            first = _new((bucket[order], mixed[order], whole[order]))
+            bucket = bucket[order]
+            cuts = np.flatnonzero(_new((bucket,)))
+            rows = []
             for i, j in zip(cuts, [*cuts[1:], len(order)]):
-                rest, first = order[i:j], new[i:j]
-                sent = rest[first]
-                text = b"".join([data[begin[r] : begin[r + 1]].tobytes() for r in sent])
-                rows.append(pack(doc[rest], dig[rest], start[rest], count[rest].astype(np.int32), first.astype(np.uint8), np.frombuffer(text, dtype=np.uint8)))
-                ids.append(int(bucket[i]))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(ids, pa.int32()), "blob": pa.array(rows, pa.binary())})
+                own, fresh = order[i:j], first[i:j]
+                kinds = own[fresh & ~mixed[own]], own[~fresh], own[fresh & mixed[own]]
+                kinds = [k[np.lexsort((start[k], dig[k], doc[k]))] for k in kinds]
+                cols = [x for k in kinds for x in (doc[k], dig[k], start[k], count[k])]
+                sent = kinds[2]
+                text = b"".join([data[b : b + n] for b, n in zip(begin[sent].tolist(), (count[sent] + (config.length - 1)).tolist())])
+                rows.append(pack(*cols, whole[kinds[0]], np.frombuffer(text, dtype=np.uint8)))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts].astype(np.int32)), "blob": pa.array(rows, pa.binary())})
 
         for segments, places in segmented(source, config):
             a = Anchors(segments, config)
             slot = (a.hash >> shift).astype(np.int64)
-            hit = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            bit = (slot & 7).astype(np.uint8)
+            hit = np.flatnonzero((repeated[slot >> 3] >> bit) & 1)
             if not len(hit):
                 continue
-            start, count, segment, place = a.start[hit], a.count[hit], a.segment[hit], a.place[hit]
+            mixed = ((several[slot[hit] >> 3] >> bit[hit]) & 1).astype(bool)
+            start, count, segment = a.start[hit], a.count[hit], a.segment[hit]
+            whole = a.context()[hit]
+            raw = a.data.tobytes()
+            lengths = np.where(mixed, count + (config.length - 1), 0)
+            begin = np.cumsum(lengths) - lengths
+            data = b"".join([raw[i : i + n] for i, n in zip(start[mixed].tolist(), lengths[mixed].tolist())])
             base = np.concatenate([[0], np.cumsum([len(s) for s in segments])])
-            lengths = count + (config.length - 1)
-            ends = np.cumsum(lengths)
-            take = np.arange(ends[-1]) + np.repeat(start - (ends - lengths), lengths)
-            context = a.data[take]
-            power = np.zeros(ends[-1] + 1, dtype=U64)
-            inner = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
-            np.cumsum(mix(_BYTE[context] + inner.astype(U64) * U64(0x9E3779B97F4A7C15)), dtype=U64, out=power[1:])
-            whole = power[ends] - power[ends - lengths]
-            # The bucket depends on the anchor alone, the rest of the key on the whole context.
-            anchor = (a.hash[hit] >> U64(8)) << U64(8)
-            own = mix(whole + (place - start).astype(U64) * U64(977) + lengths.astype(U64))
-            key = ((anchor >> U64(8)) % U64(buckets) + (own >> U64(20)) // U64(buckets) * U64(buckets)) << U64(8)
-            origin = np.array([(p[0], p[1]) for p in places], dtype=np.int64).reshape(-1, 2)[segment]
-            offset = np.array([p[2] for p in places], dtype=np.int64)[segment] + start - base[segment]
-            held.append((key, origin[:, 0], origin[:, 1], offset, count, context))
-            size += len(context)
+            origin = np.array([(p[0], p[1], p[2]) for p in places], dtype=np.int64).reshape(-1, 3)[segment]
+            bucket = (np.where(mixed, mix(a.hash[hit]), whole) >> U64(7)) % U64(buckets)
+            held.append((mixed, bucket, whole, origin[:, 0], origin[:, 1].astype(np.int32), origin[:, 2] + start - base[segment], count.astype(np.int32), begin, data))
+            size += len(data) + 40 * len(hit)
             if size >= config.hold:
                 yield from out()
                 held, size = [], 0
         if held:
             yield from out()
 
-    return docs.select("doc_id", "text").mapInArrow(send, "bucket int, blob binary")
+    return run
 
 
 def _meet(config: RepeatConfig, buckets: int):
@@ -240,39 +252,41 @@ def _meet(config: RepeatConfig, buckets: int):
         parts = [unpack(x) for b in source for x in b.column("blob").to_pylist()]
         if not parts:
             return
-        doc, dig, start, count, first = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        data = np.concatenate([p[5] for p in parts])
+        spans = []
+        doc, dig, start, count, whole = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 12))
+        order = np.lexsort((start, dig, doc, whole))
+        order = order[_new(tuple(x[order] for x in (whole, doc, dig, start)))]
+        later = order[~_new((whole[order],))]
+        spans.append((doc[later], dig[later], start[later], count[later].astype(np.int64) + config.length - 1))
+        doc, dig, start, count = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6, 7))
+        spans.append((doc, dig, start, count.astype(np.int64) + config.length - 1))
+        doc, dig, start, count, data = (np.concatenate([p[i] for p in parts]) for i in (8, 9, 10, 11, 13))
         del parts
-        sent = np.flatnonzero(first)
-        lengths = count[sent].astype(np.int64) + (config.length - 1)
-        begin = np.cumsum(lengths) - lengths
-        by_place = np.lexsort((start[sent], dig[sent], doc[sent]))
-        by_place = by_place[_new((doc[sent][by_place], dig[sent][by_place], start[sent][by_place]))]
-        windows = count[sent][by_place].astype(np.int64)
-        ends = np.cumsum(windows)
-        row = np.repeat(np.arange(len(windows)), windows)
-        inner = np.arange(ends[-1]) - np.repeat(ends - windows, windows)
-        value = rolling(data, config.length)[begin[by_place][row] + inner]
-        order = np.argsort(value, kind="stable")
-        again = np.zeros(len(value), dtype=bool)
-        again[order[1:]] = value[order][1:] == value[order][:-1]
-        edge = np.diff(again.astype(np.int8), prepend=0)
-        opens = np.flatnonzero(again & ((edge == 1) | (inner == 0)))
-        last = np.ones(len(again), dtype=bool)
-        last[:-1] = ~again[1:] | (inner[1:] == 0)
-        closes = np.flatnonzero(again & last)
-        r = sent[by_place[row[opens]]]
-        local = np.flatnonzero(first == 0)
-        d, g = np.concatenate([doc[r], doc[local]]), np.concatenate([dig[r], dig[local]])
-        lo = np.concatenate([start[r] + inner[opens], start[local]])
-        hi = np.concatenate([start[r] + inner[closes] + config.length, start[local] + count[local] + config.length - 1])
-        if not len(d):
+        if len(doc):
+            lengths = count.astype(np.int64) + (config.length - 1)
+            begin = np.cumsum(lengths) - lengths
+            by_place = np.lexsort((start, dig, doc))
+            by_place = by_place[_new((doc[by_place], dig[by_place], start[by_place]))]
+            windows = count[by_place].astype(np.int64)
+            ends = np.cumsum(windows)
+            row = np.repeat(np.arange(len(windows)), windows)
+            inner = np.arange(ends[-1]) - np.repeat(ends - windows, windows)
+            value = rolling(data, config.length)[begin[by_place][row] + inner]
+            order = np.argsort(value, kind="stable")
+            again = np.zeros(len(value), dtype=bool)
+            again[order[1:]] = value[order][1:] == value[order][:-1]
+            opens = np.flatnonzero(again & (np.concatenate([[True], ~again[:-1]]) | (inner == 0)))
+            closes = np.flatnonzero(again & np.concatenate([~again[1:] | (inner[1:] == 0), [True]]))
+            r = by_place[row[opens]]
+            spans.append((doc[r], dig[r], start[r] + inner[opens], inner[closes] - inner[opens] + config.length))
+        doc, dig, start, n = (np.concatenate(x) for x in zip(*spans))
+        if not len(doc):
             return
-        home = (mix(d.view(U64)) % U64(buckets)).astype(np.int64)
-        order = np.lexsort((lo, g, d, home))
-        d, g, lo, hi, home = d[order], g[order], lo[order], hi[order], home[order]
-        cuts = np.flatnonzero(np.diff(home, prepend=-1))
-        rows = [pack(d[i:j], g[i:j], lo[i:j], (hi[i:j] - lo[i:j]).astype(np.int32)) for i, j in zip(cuts, [*cuts[1:], len(d)])]
+        home = (mix(doc.view(U64)) % U64(buckets)).astype(np.int64)
+        order = np.lexsort((start, dig, doc, home))
+        doc, dig, start, n, home = doc[order], dig[order], start[order], n[order], home[order]
+        cuts = np.flatnonzero(_new((home,)))
+        rows = [pack(doc[i:j], dig[i:j], start[i:j], n[i:j].astype(np.int32)) for i, j in zip(cuts, [*cuts[1:], len(doc)])]
         yield pa.RecordBatch.from_pydict({"home": pa.array(home[cuts].astype(np.int32)), "blob": pa.array(rows, pa.binary())})
 
     return run
@@ -292,8 +306,9 @@ def removed_spans(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> Dat
     """doc_id, text and spans (array of struct lo, hi: the maximal removed byte runs) of every document."""
     spark = docs.sparkSession
     buckets = bucket_count(spark) * config.spread
-    bitmap = spark.sparkContext.broadcast(repeated_anchors(docs, config))
-    spans = _contexts(docs, bitmap, config, buckets).repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(config, buckets), "home int, blob binary")
+    filters = spark.sparkContext.broadcast(repeated_anchors(docs, config))
+    sent = docs.select("doc_id", "text").mapInArrow(_send(filters, config, buckets), "bucket int, blob binary")
+    spans = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(config, buckets), "home int, blob binary")
     least = -(1 << 63)
 
     def place(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
