@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontamination, line_dedup, mixing, ngram_join, preference, quality_rules, repeat_dedup
+from . import compression, decontamination, katz, line_dedup, mixing, ngram_join, preference, quality_rules, repeat_dedup
 from .textcore import documents, table
 
 
+def op1_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(documents(spark, sf_dir))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
