@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import release
 from .textcore import U64, Words, _BASE, batches, bucket_count, mix, pack, unpack
 
 END, START = U64(1), U64(2)
@@ -43,7 +44,8 @@ class KatzConfig:
     folds: int = 7  #: documents whose crc32 modulo this is ``held`` teach nothing
     held: int = 2
     cut: int = 5  #: counts above this are not discounted
-    chunk_tokens: int = 2_500_000
+    chunk_tokens: int = 1_200_000
+    spread: int = 2  #: parts of the table for each shuffle partition
     split: int = 16  #: parts of a history that is frequent
     frequent: float = 0.25  #: a history is frequent from this share of a mean partition on
 
@@ -145,8 +147,10 @@ def _deal(frequent, partitions: int, config: KatzConfig):
         def out() -> Iterator[pa.RecordBatch]:
             history, word, doc = (np.concatenate([h[i] for h in held]) for i in range(3))
             ids = [x for h in held for x in h[3]]
+            sizes = [(len(h[0]), len(h[3])) for h in held]
+            held.clear()
             away = np.array([is_held_out(i, config) for i in ids])
-            doc = doc + np.repeat(np.cumsum([0] + [len(h[3]) for h in held[:-1]]), [len(h[0]) for h in held])
+            doc = doc + np.repeat(np.cumsum([0] + [n for _, n in sizes[:-1]]), [n for n, _ in sizes])
             route = _route(history, word, hot, config)
             key = (route & U64(0xFFFFFF0000000000)) | (mix(history * U64(_BASE) + word) >> U64(24))
             order = np.argsort(key, kind="stable")
@@ -176,6 +180,7 @@ def _deal(frequent, partitions: int, config: KatzConfig):
             if size >= config.chunk_tokens:
                 yield from out()
                 held, size, seq = [], 0, seq + 1
+                release()
         if held:
             yield from out()
 
@@ -214,9 +219,11 @@ class Part:
         at = np.flatnonzero(new)
         self.history, self.word = ho[at], wo[at]
         self.count = np.add.reduceat(c[order], at)
-        self.kind = np.empty(len(h), dtype=np.int64)
-        self.kind[order] = np.cumsum(new) - 1
-        self.words, self.slot = np.unique(self.word, return_inverse=True)
+        self.kind = np.empty(len(h), dtype=np.int32)
+        self.kind[order] = np.cumsum(new, dtype=np.int32) - 1
+        del h, w, c, key, order, ho, wo, new, at
+        self.words, slot = np.unique(self.word, return_inverse=True)
+        self.slot = slot.astype(np.int32)
 
     def totals(self) -> np.ndarray:
         """Training count in this partition of each distinct word."""
@@ -237,7 +244,7 @@ def _by_partition(records) -> list[bytes]:
 def katz_scores(docs: DataFrame, config: KatzConfig = KatzConfig()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
-    context, n = spark.sparkContext, bucket_count(spark)
+    context, n = spark.sparkContext, bucket_count(spark) * config.spread
     frequent = context.broadcast(frequent_histories(docs, n, config))
     identity = lambda k: k
     dealt = docs.select("doc_id", "text").mapInArrow(_deal(frequent, n, config), "home int, blob binary")
@@ -250,6 +257,7 @@ def katz_scores(docs: DataFrame, config: KatzConfig = KatzConfig()) -> DataFrame
         own = Part(_by_partition(records))
         yield -1, np.bincount(np.minimum(own.count, most), minlength=most + 1)[:most].tobytes()
         total = own.totals()
+        release()
         home = (mix(own.words) >> U64(32)) * U64(n) >> U64(32)
         for b in np.unique(home):
             at = np.flatnonzero(home == b)
@@ -319,13 +327,15 @@ def katz_scores(docs: DataFrame, config: KatzConfig = KatzConfig()) -> DataFrame
         alpha = np.where(count > 0, (1 - kept / np.maximum(base, 1)) / np.maximum(1 - seen, 1e-300), 1.0)
         p = np.where(own.count > 0, discounted(own.count, d2) / np.maximum(base, 1)[of], alpha[of] * p1)
         log, plain = np.log10(np.maximum(p, 1e-300)), np.log10((c + 1) / (unigrams.total + unigrams.kinds + 1))
-        start = 0
+        start, kind = 0, None
         for chunk, size, many, doc in own.chunks:
             kind = np.repeat(own.kind[start : start + len(many)], many)
             start += len(many)
             sums = [np.bincount(doc, minlength=size), np.bincount(doc, weights=c[kind] > 0, minlength=size), np.bincount(doc, weights=plain[kind], minlength=size), np.bincount(doc, weights=log[kind], minlength=size)]
             used = np.flatnonzero(sums[0])
             yield chunk, pack(used.astype(np.int32), sums[0][used].astype(np.int32), sums[1][used].astype(np.int32), sums[2][used], sums[3][used])
+        del p, log, plain, kind
+        release()
         for b in own.tables:
             yield int(unpack(b[1:])[0][0]), b
 
