@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import release
 from .textcore import _BYTE, _INV, _POW, _SPAN, U64, bucket_count, deltas, mix, pack, slice_hashes, unpack
 
 PREFIX = 44
@@ -40,8 +41,8 @@ class RepeatConfig:
     length: int = 100  #: bytes of a repeated string
     gram: int = 32  #: bytes of an anchor
     filter_bits: int = 27  #: the filter of repeated anchors has 2**filter_bits bits, whatever the input's size
-    segment: int = 1 << 21  #: bytes looked at at once
-    hold: int = 16 << 20  #: context bytes that a task holds before it sends them
+    segment: int = 1 << 20  #: bytes looked at at once
+    hold: int = 8 << 20  #: context bytes that a task holds before it sends them
     spread: int = 2  #: buckets of contexts, and of documents, for each shuffle partition
 
 
@@ -101,7 +102,8 @@ class Anchors:
         at = np.flatnonzero(new)
         self.start, self.place, self.segment = windows[at], place[at], segment[at]
         self.count = np.diff(np.append(at, len(windows)))
-        self.hash = hashes[self.place]
+        # Least hashes crowd at the low end of their range; mixed again, they fill filters and buckets evenly.
+        self.hash = mix(hashes[self.place])
         self.length = config.length
 
     def context(self) -> np.ndarray:
@@ -161,8 +163,11 @@ def repeated_anchors(docs: DataFrame, config: RepeatConfig) -> tuple[np.ndarray,
             if sum(len(h[0]) for h in held) > 1_000_000:
                 yield out()
                 held.clear()
+                release()
         if held:
             yield out()
+        held.clear()
+        release()
 
     def twice(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(x) for b in source for x in b.column("blob").to_pylist()]
@@ -239,8 +244,11 @@ def _send(filters, config: RepeatConfig, buckets: int):
             if size >= config.hold:
                 yield from out()
                 held, size = [], 0
+                release()
         if held:
             yield from out()
+        held = []
+        release()
 
     return run
 
@@ -287,6 +295,7 @@ def _meet(config: RepeatConfig, buckets: int):
         doc, dig, start, n, home = doc[order], dig[order], start[order], n[order], home[order]
         cuts = np.flatnonzero(_new((home,)))
         rows = [pack(doc[i:j], dig[i:j], start[i:j], n[i:j].astype(np.int32)) for i, j in zip(cuts, [*cuts[1:], len(doc)])]
+        release()
         yield pa.RecordBatch.from_pydict({"home": pa.array(home[cuts].astype(np.int32)), "blob": pa.array(rows, pa.binary())})
 
     return run
@@ -327,6 +336,7 @@ def removed_spans(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> Dat
             for i, j in zip(cuts, [*cuts[1:], len(d)]):
                 found[int(d[i]), int(g[i])] = _merge(lo[i:j], hi[i:j])
         ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").cast(pa.binary()).to_pylist()
+        release()
         spans = [found.get((least if i is None else i, text_digest(t)), []) if t is not None else [] for i, t in zip(ids, texts)]
         return pa.table({"doc_id": rows.column("doc_id"), "text": rows.column("text"), "spans": pa.array([[{"lo": a, "hi": b} for a, b in s] for s in spans], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))})
 
