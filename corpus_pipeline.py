@@ -12,7 +12,7 @@ from quotelens.llm.decontamination import leaked_removed
 from quotelens.llm.line_dedup import emptied_removed
 from quotelens.llm.mixing import mix_documents
 from quotelens.llm.ngram_join import JoinConfig, near_duplicates_removed
-from quotelens.llm.textcore import shared_dir, table
+from quotelens.llm.textcore import discard_paths, free_shuffles, shared_dir, stored_tables, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -42,12 +42,30 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+_earlier: set[str] = set()
+
+
+def _after_the_last(stage: Stage) -> Stage:
+    """A stage is called once the one before it is written: what that one stored on the way can go."""
+
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard_paths(_earlier)
+        free_shuffles(spark)
+        before = stored_tables()
+        out = stage(spark, docs, sf_dir)
+        _earlier.clear()
+        _earlier.update(stored_tables() - before)
+        return out
+
+    return call
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality classifier", quality_classifier),
-    ("line dedup", line_dedup),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", decontamination),
-    ("mixing sources to target weights", mixing),
+    ("quality classifier", _after_the_last(quality_classifier)),
+    ("line dedup", _after_the_last(line_dedup)),
+    ("n-gram Jaccard join", _after_the_last(near_duplicates)),
+    ("benchmark decontamination", _after_the_last(decontamination)),
+    ("mixing sources to target weights", _after_the_last(mixing)),
 ]
 
 

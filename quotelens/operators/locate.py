@@ -60,7 +60,7 @@ def exact_pairs(docs: DataFrame, excerpts: DataFrame, doc_id: str = "doc_id", ex
     """
     kinds = docs.schema[doc_id].dataType.simpleString(), excerpts.schema[excerpt_id].dataType.simpleString()
     schema = f"{doc_id} {kinds[0]}, {excerpt_id} {kinds[1]}, cp_index int, occurrences int"
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = None
     for rows in blocks(excerpts, [excerpt_id, needle]):
         words: dict[str, list] = {}
         for i, w in rows:
@@ -90,8 +90,9 @@ def exact_pairs(docs: DataFrame, excerpts: DataFrame, doc_id: str = "doc_id", ex
                             count.append(min(n, CAP))
                 yield pa.RecordBatch.from_arrays([b.column(doc_id).take(pa.array(at, pa.int64())), pa.array(ids, id_type), pa.array(first, pa.int32()), pa.array(count, pa.int32())], names=[doc_id, excerpt_id, "cp_index", "occurrences"])
 
-        out = out.union(docs.select(doc_id, text).mapInArrow(run, schema))
-    return out
+        part = docs.select(doc_id, text).mapInArrow(run, schema)
+        out = part if out is None else out.union(part)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def exact_pairs_native(docs: DataFrame, excerpts: DataFrame, doc_id: str = "doc_id", excerpt_id: str = "item_id") -> DataFrame:
@@ -184,7 +185,7 @@ def locate(docs: DataFrame, excerpts: DataFrame, o: MatchOptions | None = None,
     o = o or with_preset()
     kinds = docs.schema["doc_id"].dataType.simpleString(), excerpts.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, {RESULT}"
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = None
     plain = replace(o, markdown=None)
     for rows in blocks(excerpts, ["item_id", "text"]):
         shared = docs.sparkSession.sparkContext.broadcast((_needles(rows, plain, bool(o.fallbacks)), dict(rows)))
@@ -214,8 +215,9 @@ def locate(docs: DataFrame, excerpts: DataFrame, o: MatchOptions | None = None,
                             found.append(r)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(ids, to_arrow_type(id_field.dataType)), *_arrays(found)], names=["doc_id", "item_id", *(n for n, _ in _fields())])
 
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return out
+        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        out = part if out is None else out.union(part)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def searched_text(text: str, o: MatchOptions) -> str:
