@@ -59,6 +59,14 @@ class _Out:
             self.inside.append(owner)
             self.sep.append(sep)
 
+    def run(self, src: str, lo: int, hi: int, owner: int) -> None:
+        """Source characters as they are."""
+        self.chars.extend(src[lo:hi])
+        self.lo.extend(range(lo, hi))
+        self.hi.extend(range(lo + 1, hi + 1))
+        self.inside.extend([owner] * (hi - lo))
+        self.sep.extend([False] * (hi - lo))
+
     def flat(self, blocks) -> Flat:
         t = Trace("".join(self.chars), np.array(self.lo, dtype=np.int64), np.array(self.hi, dtype=np.int64))
         return Flat(t, blocks, self.constructs, self.inside, np.array(self.sep, dtype=bool))
@@ -74,6 +82,7 @@ _REGEX_LINK = regex.compile(r"\[([^\]]*)\]\([^)]*\)")
 _REGEX_FENCE = regex.compile(r"```[^\n]*\n?(.*?)(?:```|$)", regex.S)
 _REGEX_HEAD = regex.compile(r"(?<![^\n])(?:#{1,6}\s+|>\s?|[-*+]\s+|\d+\.\s+|\|\s*)")
 _REGEX_RULE = regex.compile(r"\|?[\s:|-]+\|[ \t]*(?:\n|$)")
+_REGEX_NEXT = regex.compile(r"[!\[`#>*+|_~&\\\-0-9]")
 _REGEX_SIGNS = regex.compile(r"[*_~`]{1,3}")
 
 
@@ -84,8 +93,7 @@ def regex_flatten(src: str) -> Flat:
         if m := _REGEX_SKIP.match(src, at):
             at = m.end()
         elif (m := _REGEX_LINK.match(src, at)) or (m := _REGEX_FENCE.match(src, at)):
-            for i in range(m.start(1), m.end(1)):
-                out.put(src[i], i, i + 1, -1)
+            out.run(src, m.start(1), m.end(1), -1)
             at = m.end()
         elif m := _REGEX_HEAD.match(src, at):
             at = m.end()
@@ -98,8 +106,10 @@ def regex_flatten(src: str) -> Flat:
             out.put(src[at + 1], at, at + 2, -1)
             at += 2
         else:
-            out.put(src[at], at, at + 1, -1)
-            at += 1
+            m = _REGEX_NEXT.search(src, at + 1)
+            end = m.start() if m else len(src)
+            out.run(src, at, end, -1)
+            at = end
     flat = out.flat([])
     flat.blocks = [(0, len(flat.text), 0, len(src))]
     return flat
@@ -232,6 +242,7 @@ _IMAGE = regex.compile(r"!\[(?:[^\[\]\\]|\\.)*\](?:\((?:[^()\\]|\\.|\([^()]*\))*
 _LINK = regex.compile(r"\[((?:[^\[\]\\]|\\.|!?\[(?:[^\[\]\\]|\\.)*\](?:\([^()]*\))?)*)\](?:\((?:[^()\\]|\\.|\([^()]*\))*\)|\[[^\]]*\])")
 _AUTO = regex.compile(r"<((?:https?|mailto|ftp):[^ <>]*|[^ <>@]+@[^ <>]+)>")
 _TAG = regex.compile(r"<(?:!--.*?-->|/?[A-Za-z][^<>]*>)", regex.S)
+_NEXT = regex.compile(r"[\\&`!\[<*_~\r]| {2,}\r?\n")
 _MARKS = regex.compile(r"(\*{1,3}|_{1,3}|~{1,2})(?=\S)")
 
 
@@ -278,8 +289,10 @@ def _inline(out: _Out, src: str, at: int, end: int, owner: int = -1) -> None:
         elif c == " " and regex.match(r" {2,}\r?\n", src[at:end]):
             at = src.index("\n", at)
         else:
-            out.put(c, at, at + 1, owner)
-            at += 1
+            m = _NEXT.search(src, at + 1, end)
+            stop = m.start() if m else end
+            out.run(src, at, stop, owner)
+            at = stop
 
 
 def _closing(src: str, m: regex.Match, end: int) -> int | None:

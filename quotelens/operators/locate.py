@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.approx import SEED
 from ..functions.markdown import FLATTENERS, joined
-from ..functions.rules import rules, to_column, trace
+from ..functions.rules import rules, to_column
 from ..functions.scalars import line_of, occurrences, utf16_offset
 from ..options import NO_MATCH, MatchOptions, with_preset
 from .pairs import CAP, Matcher, implicit_anchors, marked_anchors, normalize, visible_text
@@ -187,6 +187,8 @@ def locate(docs: DataFrame, excerpts: DataFrame, o: MatchOptions | None = None,
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, {RESULT}"
     out = None
     plain = replace(o, markdown=None)
+    native = not (o.markdown or o.cjk_numerals or o.ignore_particles)
+    hay = normalized_column("text", plain) if native else F.lit(None).cast("string")
     for rows in blocks(excerpts, ["item_id", "text"]):
         shared = docs.sparkSession.sparkContext.broadcast((_needles(rows, plain, bool(o.fallbacks)), dict(rows)))
         id_field = excerpts.select("item_id").schema[0]
@@ -196,16 +198,15 @@ def locate(docs: DataFrame, excerpts: DataFrame, o: MatchOptions | None = None,
 
             words, texts = shared.value
             machine, matcher = _automaton(words), Matcher(o)
-            steps = rules(plain)
             for b in source:
                 at, ids, found = [], [], []
-                for row, t in enumerate(b.column("text").to_pylist()):
-                    if not t:
+                for row, (t, norm) in enumerate(zip(b.column("text").to_pylist(), b.column("norm").to_pylist())):
+                    if not t or not len(machine):
                         continue
-                    shown = searched_text(t, o)
+                    shown = t if native else searched_text(t, o)
                     near: dict = {}
-                    for hay in {shown, trace(shown, steps).text}:
-                        for _, (_, owners) in machine.iter(hay):
+                    for part in {shown, norm if native else normalize(shown, plain).text}:
+                        for _, (_, owners) in machine.iter(part):
                             near.update(dict.fromkeys(owners))
                     for i in near:
                         r = _row(matcher.match(texts[i], t), t, o, min_score)
@@ -215,7 +216,7 @@ def locate(docs: DataFrame, excerpts: DataFrame, o: MatchOptions | None = None,
                             found.append(r)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(ids, to_arrow_type(id_field.dataType)), *_arrays(found)], names=["doc_id", "item_id", *(n for n, _ in _fields())])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", "text", hay.alias("norm")).mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
