@@ -416,6 +416,9 @@ def _inline_sql(column: str, values: dict[int, object]) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(v) if isinstance(v, str) else v})" for i, v in values.items()) + f") AS v(id, {column})"
 
 
+_RANGES_SQL = {"digit": "0-9", "thai": "\\x{e00}-\\x{e7f}", "kana": "\\x{3040}-\\x{30ff}", "han": "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}", "hangul": "\\x{ac00}-\\x{d7af}", "latin": "A-Za-z\\x{c0}-\\x{24f}"}
+
+
 def _without(signs: str) -> str:
     folded = _glyphs("lower(text)")
     return f"regexp_replace(regexp_replace({folded}, '{signs}', '', 'g'), '{_SPACE_SQL}', '', 'g')"
@@ -469,5 +472,8 @@ ORACLES: dict[str, str] = {
     "ignore_punct_fold": _md5(_FOLD_SQL),
     "ignore_punct_drop": _md5(_without("\\p{P}")),
     "ignore_punct_symbols": _md5(_without("[\\p{P}\\p{S}]")),
+    "t3_polarity_guard": "SELECT * FROM (VALUES (1, false, 'none'), (2, true, 'fuzzy'), (3, false, 'none')) AS v(id, found, kind)",
+    "space_between": "WITH m AS (SELECT id, regexp_extract_all(text, '(\\S) +', 1) AS a FROM " + _values() + "), u AS (SELECT id, unnest(a) AS a, generate_subscripts(a, 1) - 1 AS k FROM m), "
+    "c AS (SELECT *, CASE " + " ".join(f"WHEN regexp_matches(a, '^[{r}]') THEN '{n}'" for n, r in _RANGES_SQL.items()) + " ELSE 'other' END AS script FROM u) SELECT id, k, a, script, script IN ('han', 'kana') AS droppable FROM c",
     "visible_of_markup": "SELECT page_id, url AS trimmed FROM pages",
 }
