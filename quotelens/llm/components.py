@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import stored
+from .textcore import discard, stored
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +43,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = stored(linked.union(small.select("a", F.col("m").alias("b"))).distinct())
+        last, edges = edges, stored(linked.union(small.select("a", F.col("m").alias("b"))).distinct())
+        discard(last)
         n = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if n == before:
             break

@@ -4,7 +4,8 @@
 2. Top-level regions. Unrelated texts are all at distance 1 from each other, so triangle-inequality windows around
    pivots of the whole corpus would replicate every document to every region. Nodes therefore first meet by partition
    signatures: the shingle space is dealt into more parts than two linked sets can differ in, so linked nodes agree in
-   at least one part's content. Nodes that share a signature are joined into candidate regions (connected components).
+   at least one part's content that is not common to many documents, or else share a rare shingle. Pairs that share a signature are dropped where the
+   distance of their profiles, a lower bound, exceeds what links allow; the rest make candidate regions (components).
 3. Pivot join. A large region is dealt out by pivots: each node goes to its nearest pivot's Voronoi region and, by the
    triangle inequality, to every region whose pivot is at most twice the link distance further. Nodes linked to their
    pivot are already connected to each other. Regions are joined recursively: inside a task every next pivot prunes
@@ -29,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, local_roots
-from .textcore import U64, Words, batches, bucket_count, deltas, mix, pack, shingles, stored, unique_sets, unpack
+from .components import components
+from .memory import release
+from .textcore import U64, Words, batches, bucket_count, deltas, discard, free_shuffles, mix, pack, shingles, stored, unique_sets, unpack
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,8 @@ class JoinConfig:
     region_rows: int = 3000  #: larger regions are dealt out by pivots, then by pairs of blocks
     region_items: int = 4_000_000  #: the same bound in shingles
     pivots: int = 8
+    few: int = 32  #: groups of one signature up to this size are compared pair by pair, larger ones up to region_rows by pivots
+    sample: int = 8000  #: documents in which common shingles are looked for
 
 
 def classes(config: JoinConfig, most: int) -> list[tuple[int, int, int, int]]:
@@ -54,10 +58,18 @@ def classes(config: JoinConfig, most: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def signatures(items: np.ndarray, config: JoinConfig, table: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """The part signatures of one set, for its own size class and the next ones that larger partners may be in."""
+def signatures(items: np.ndarray, config: JoinConfig, table: list[tuple[int, int, int, int]], common: np.ndarray) -> np.ndarray:
+    """The part signatures of one set, for its own size class and the next ones that larger partners may be in.
+
+    Linked sets agree in at least parts - differ parts. Parts that are empty or hold only ``common`` shingles say nothing and
+    are left out; a set with so many of them that all agreed parts might be such gives the shingles of its prefix, rarest
+    first, of which linked sets share at least one. What is left out depends on a part's content alone, so both sets of
+    a pair leave out the same.
+    """
     n, t = len(items), config.percent
     out = []
+    known = common[np.minimum(np.searchsorted(common, items), len(common) - 1)] == items if len(common) else np.zeros(n, dtype=bool)
+    fallback = False
     for c, (lo, hi, differ, parts) in enumerate(table):
         if hi < n:
             continue
@@ -67,15 +79,35 @@ def signatures(items: np.ndarray, config: JoinConfig, table: list[tuple[int, int
             continue
         h = mix(items + U64(c + 1))
         part = ((h >> U64(32)) * U64(parts)) >> U64(32)
-        total = np.zeros(parts, dtype=U64)
+        total, telling = np.zeros(parts, dtype=U64), np.zeros(parts, dtype=bool)
         np.add.at(total, part, h)
-        filled = np.flatnonzero(total)
+        telling[part[~known].astype(np.int64)] = True
+        filled = np.flatnonzero(telling)
         out.append(mix(mix(total[filled] + U64(c)) + filled.astype(U64)))
-        if parts - len(filled) >= parts - differ:
-            out.append(mix(np.sort(items)[: n - -(-t * n // 100) + 1] + U64(0x5BD1E995)))
+        fallback |= parts - len(filled) >= parts - differ
+    if fallback:
+        rarest = items[np.lexsort((items, known))]
+        out.append(mix(rarest[: n - -(-t * n // 100) + 1] + U64(0x5BD1E995)))
     return np.concatenate(out) if out else items[:0]
 
 
+def common_shingles(docs: DataFrame, config: JoinConfig) -> np.ndarray:
+    """Shingles in three or more of about ``sample`` documents. They only steer which parts are compared, never results."""
+    total = docs.count()
+    step = -(-total // config.sample)
+    picked = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(step, 1))) == 0)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [s for _, texts in batches(source, "text") for s in shingle_sets(texts, config.k)]
+        if sets:
+            keys, seen = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": seen})
+
+    many = picked.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 3").select("key")
+    # Bounded by the sample: at most a third of its shingles.
+    return np.sort(np.array([r["key"] for r in many.toLocalIterator()], dtype=np.int64).view(U64))
+
+
 def digest(items: np.ndarray) -> int:
     return int(mix(np.array([mix(items).sum(dtype=U64) ^ U64(len(items))], dtype=U64))[0].view(np.int64)) if len(items) else 0
 
@@ -86,31 +118,43 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return [v[first[i] : first[i + 1]] for i in range(len(texts))]
 
 
+BINS = 64
+
+
+def profile(items: np.ndarray) -> bytes:
+    """Shingles per bin: the distance of two profiles is at most the symmetric difference of the sets."""
+    return np.minimum(np.bincount((mix(items) >> U64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def nodes(docs: DataFrame, config: JoinConfig) -> DataFrame:
-    """doc_id, n_shingles and node (null for an empty set) of every document."""
+    """doc_id, n_shingles, node (null for an empty set) and profile of every document."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(source, "text"):
             sets = shingle_sets(texts, config.k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([profile(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "node", "profile"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, profile binary")
 
 
 def candidates(docs: DataFrame, config: JoinConfig) -> DataFrame:
-    """Links (a, b) between nodes that share a signature: a star per signature, merged inside each bucket."""
+    """Candidate links between nodes that share a signature, as (a, b, kind): 0, a pair of a small group; 1, node a of the
+    middling group b; 2, a link of the star of a large group."""
     buckets = bucket_count(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, config))
     flush = 1 << 20
 
     def deal(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = classes(config, 1 << 40)
+        table, common = classes(config, 1 << 40), shared.value
         held: list = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             sig, node = (np.concatenate(x) for x in zip(*held))
-            bucket = (sig >> U64(20)) % U64(buckets)
+            held.clear()
+            sig >>= U64(16)  # 48 bits: what meets by chance is told apart below
+            bucket = (sig >> U64(4)) % U64(buckets)
             order = np.lexsort((node, sig, bucket))
             sig, node, bucket = sig[order], node[order], bucket[order]
             new = np.ones(len(sig), dtype=bool)
@@ -123,14 +167,16 @@ def candidates(docs: DataFrame, config: JoinConfig) -> DataFrame:
 
         for _, texts in batches(source, "text"):
             for s in shingle_sets(texts, config.k):
-                if len(s) and len(sig := signatures(s, config, table)):
+                if len(s) and len(sig := signatures(s, config, table, common)):
                     held.append((sig, np.full(len(sig), digest(s), dtype=np.int64)))
                     size += len(sig)
                     if size >= flush:
                         yield from out()
-                        held, size = [], 0
+                        size = 0
+                        release()
         if held:
             yield from out()
+        release()
 
     def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(x) for b in source for x in b.column("blob").to_pylist()]
@@ -140,17 +186,79 @@ def candidates(docs: DataFrame, config: JoinConfig) -> DataFrame:
         node = np.concatenate([p[1] for p in parts])
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
+        fresh = np.ones(len(sig), dtype=bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node = sig[fresh], node[fresh]
         new = np.ones(len(sig), dtype=bool)
         new[1:] = sig[1:] != sig[:-1]
-        head = node[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-        pair = head != node
-        if pair.any():
-            a, b = local_roots(node[pair], head[pair])
-            keep = a != b
-            yield pa.RecordBatch.from_pydict({"a": a[keep], "b": b[keep]})
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(sig)))
+        first, left = np.repeat(at, size), np.repeat(at + size, size) - np.arange(len(sig))
+        small = np.repeat(size, size) <= config.few
+        large = np.repeat(size, size) > config.region_rows
+        star, member = large & (node != node[first]), ~small & ~large
+        a, b = [node[star], node[member]], [node[first[star]], sig[member].view(np.int64)]
+        kind = [np.full(int(star.sum()), 2), np.full(int(member.sum()), 1)]
+        for step in range(1, config.few):
+            i = np.flatnonzero(small & (left > step))
+            if not len(i):
+                break
+            pair = node[i] != node[i + step]
+            a.append(node[i + step][pair])
+            b.append(node[i][pair])
+            kind.append(np.zeros(int(pair.sum()), dtype=np.int64))
+        a, b, kind = (np.concatenate(x) for x in (a, b, kind))
+        order = np.lexsort((kind, b, a))
+        a, b, kind = a[order], b[order], kind[order]
+        keep = np.ones(len(a), dtype=bool)
+        keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])
+        out = pa.RecordBatch.from_pydict({"a": a[keep], "b": b[keep], "kind": pa.array(kind[keep].astype(np.int32))})
+        del parts, sig, node, order, new, a, b, kind, keep, first, left, small, large
+        release()
+        yield out
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, blob binary")
-    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a bigint, b bigint")
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a bigint, b bigint, kind int")
+
+
+def _near(config: JoinConfig, x: np.ndarray, y: np.ndarray, na, nb) -> np.ndarray:
+    """Which sets may be linked, by the lower bound that profiles give and by size."""
+    keep = np.abs(x - y).sum(axis=1) * (100 + config.percent) <= (na + nb) * (100 - config.percent)
+    return keep & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * config.percent)
+
+
+def _profiles(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
+
+
+def possible(found: DataFrame, rows: DataFrame, config: JoinConfig) -> DataFrame:
+    """Candidate links (a, b) without those whose profiles or sizes show that they cannot be links."""
+    facts = rows.where("node is not null").groupBy("node").agg(F.first("profile").alias("profile"), F.first("n_shingles").alias("n"))
+    left = facts.select(F.col("node").alias("a"), F.col("profile").alias("pa"), F.col("n").alias("na"))
+    right = facts.select(F.col("node").alias("b"), F.col("profile").alias("pb"), F.col("n").alias("nb"))
+
+    def judge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            keep = pa.array(_near(config, _profiles(batch.column("pa")), _profiles(batch.column("pb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+    def pivot(group: pa.Table) -> pa.Table:
+        node, n, x = group.column("a").to_numpy(), group.column("na").to_numpy(), _profiles(group.column("pa"))
+        label = np.arange(len(node))
+        for p in range(len(node)):
+            rest = p + 1 + np.flatnonzero(label[p + 1 :] != label[p])
+            if len(rest):
+                near = rest[_near(config, x[rest], x[p], n[rest], n[p])]
+                if len(near):
+                    label[np.isin(label, label[near])] = label[p]
+        root = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(root, label, node)
+        keep = root[label] != node
+        return pa.table({"a": node[keep], "b": root[label][keep]})
+
+    pairs = found.where("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(judge, "a bigint, b bigint")
+    groups = found.where("kind = 1").join(left, "a").select("a", F.col("b").alias("sig"), "pa", "na").groupBy("sig").applyInArrow(pivot, "a bigint, b bigint")
+    return pairs.union(groups).union(found.where("kind = 2").select("a", "b"))
 
 
 def linked(inter: np.ndarray, n: int, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -211,6 +319,7 @@ def _join_groups(config: JoinConfig):
         roots = np.full(len(node), np.iinfo(np.int64).max)
         np.minimum.at(roots, label, node)
         root = roots[label]
+        release()
         return pa.table({"a": pa.array(node), "b": pa.array(root)})
 
     return run
@@ -277,7 +386,12 @@ def ngram_join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and node of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(nodes(docs, config))
-    coarse = components(stored(candidates(docs, config)))
+    near = stored(candidates(docs, config))
+    free_shuffles(docs.sparkSession)
+    maybe = stored(possible(near, rows, config))
+    discard(near)
+    coarse = components(maybe)
+    discard(maybe)
     heads = rows.where("node is not null").join(coarse, "node").groupBy("node", "root").agg(F.min("doc_id").alias("head"), F.max("n_shingles").alias("n"))
 
     def fetch(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,13 +403,14 @@ def ngram_join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
 
     wanted = docs.select(F.col("doc_id").alias("head"), "text").join(heads.withColumnRenamed("head", "wanted"), F.col("head").eqNullSafe(F.col("wanted")))
     members = stored(wanted.select("root", "node", "text").mapInArrow(fetch, "region bigint, node bigint, n bigint, items binary"))
+    free_shuffles(docs.sparkSession)
     links, split = region_links(members, config)
     final = components(links) if split else stored(links.select(F.col("a").alias("node"), F.col("b").alias("root")))
     own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = own.join(final.groupBy("node").agg(F.min("root").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = named.join(ids, "root").select("node", "component_id")
-    out = rows.join(by_node, "node", "left")
+    out = rows.drop("profile").join(by_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).cast(kind).alias("component_id"), "node")
 
 

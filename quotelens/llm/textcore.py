@@ -7,6 +7,7 @@ A word's identity is a 64-bit hash of its bytes, computed for all words of a bat
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -199,23 +200,48 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no plan reads any more."""
+    for df in tables:
+        _delete(df.stored_path)
+
+
+def stored_tables() -> set[str]:
+    return set(_written)
+
+
+def discard_paths(paths: set[str]) -> None:
+    for path in paths & set(_written):
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session has ended
+        return
 
 
-_written: list = []
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs whose plans are no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def discard_stored() -> None:
     """Delete the tables of finished queries."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session has ended
-            return
+    discard_paths(set(_written))
 
 
 atexit.register(discard_stored)
