@@ -340,6 +340,8 @@ def _deal_by_pivots(config: JoinConfig):
         limit = away.min(axis=0) + 2 * (100 - config.percent) / 100 + 1e-9
         rows = [(int(p_node[i]), j, bool(core[i, j]), float(away[i, j])) for i in range(len(p_sets)) for j in np.flatnonzero((away[i] <= limit) | core[i])]
         items = group.column("items")
+        del sets, p_sets
+        release()
         return pa.table({
             "region": pa.array([r[0] for r in rows], pa.int64()), "node": pa.array([int(node[r[1]]) for r in rows], pa.int64()), "core": pa.array([r[2] for r in rows], pa.bool_()),
             "away": pa.array([r[3] for r in rows], pa.float64()), "items": items.take(pa.array([r[1] for r in rows], pa.int64())),
@@ -359,7 +361,7 @@ def region_links(members: DataFrame, config: JoinConfig) -> tuple[DataFrame, boo
     big = stored(members.join(large, "region"))
     rank = F.pmod(F.xxhash64("node"), F.col("rows"))
     pivots = stored(big.where(rank < config.pivots).select("region", "node", "items"))
-    slices = F.ceil(F.col("rows") / F.lit(config.region_rows / 3)).cast("int")
+    slices = F.ceil(F.col("rows") / F.lit(config.region_rows / 12)).cast("int")
     dealt = big.withColumn("slice", F.pmod(F.xxhash64("node", F.lit(7)), slices)).select("region", "slice", "node", "items")
     spread = pivots.join(large.withColumn("slices", slices).select("region", "slices"), "region").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     spread = spread.select("region", F.col("slice").cast("long").alias("slice"), "node", "items")
