@@ -21,6 +21,7 @@ an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -126,16 +127,17 @@ def profile(items: np.ndarray) -> bytes:
     return np.minimum(np.bincount((mix(items) >> U64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-def nodes(docs: DataFrame, config: JoinConfig) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set) and profile of every document."""
+def nodes(docs: DataFrame, config: JoinConfig, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``carry``, n_shingles, node (null for an empty set) and profile of every document."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(source, "text"):
             sets = shingle_sets(texts, config.k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([profile(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "node", "profile"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([profile(s) for s in sets], pa.binary())], names=[*own, "n_shingles", "node", "profile"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, profile binary")
+    own = ("doc_id", *carry)
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in own)
+    return docs.select(*own, "text").mapInArrow(run, f"{kinds}n_shingles bigint, node bigint, profile binary")
 
 
 def candidates(docs: DataFrame, config: JoinConfig) -> DataFrame:
@@ -384,10 +386,10 @@ def region_links(members: DataFrame, config: JoinConfig) -> tuple[DataFrame, boo
     return met.union(direct), True
 
 
-def ngram_join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) and node of every document."""
+def joined(docs: DataFrame, config: JoinConfig, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of ``carry``, n_shingles, component_id, node and root (one a component, null for an empty set) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(nodes(docs, config))
+    rows = stored(nodes(docs, config, carry))
     near = stored(candidates(docs, config))
     free_shuffles(docs.sparkSession)
     maybe = stored(possible(near, rows, config))
@@ -411,12 +413,30 @@ def ngram_join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     own = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = own.join(final.groupBy("node").agg(F.min("root").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = named.join(ids, "root").select("node", "component_id")
+    by_node = named.join(ids, "root").select("node", "component_id", "root")
     out = rows.drop("profile").join(by_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).cast(kind).alias("component_id"), "node")
+    return out.select("doc_id", *carry, "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).cast(kind).alias("component_id"), "node", "root")
+
+
+def ngram_join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) and node of every document."""
+    return joined(docs, config).drop("root")
+
+
+def row_mark(docs: DataFrame) -> F.Column:
+    """A 64-bit digest of a whole row; columns that hold maps, which have no order, are left out."""
+    held = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*(x for c in held for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))))
 
 
 def near_duplicates_removed(docs: DataFrame, config: JoinConfig) -> DataFrame:
-    """``docs`` with one document, the one of least doc_id, of each group of links; rows repeated under one id stay once."""
-    found = ngram_join(docs, config).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each group of links: that of least doc_id (null last), and of those the one of least digest.
+
+    It is rows that are judged, not ids: rows of a null or shared doc_id that no links join all stay, as do rows of empty
+    sets. A row that is repeated in all its columns stays once.
+    """
+    mark = f"row_mark_{uuid.uuid4().hex}"
+    rows = joined(docs.select("doc_id", "text", row_mark(docs).alias(mark)), config, (mark,))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(mark).alias("mark")))
+    kept = rows.groupBy("root", F.when(F.col("root").isNull(), F.col(mark)).alias("alone")).agg(first.alias("kept")).select(F.col("kept.mark").alias(mark))
+    return docs.withColumn(mark, row_mark(docs)).join(kept, mark).dropDuplicates([mark]).drop(mark)

@@ -190,6 +190,22 @@ def test_join_against_all_pairs(spark, config):
     assert kept == {i for i in sets if root(i) == i}
 
 
+def test_near_duplicates_are_removed_by_row_not_by_id(spark):
+    rnd = random.Random(11)
+    alone = [" ".join(words(rnd, 40)) for _ in range(8)]
+    base = words(rnd, 100)
+    near = " ".join([*base[:99], "other"])
+    rows = [(None, alone[0]), (None, alone[1]), (None, None), (None, ""), (1, alone[2]), (1, alone[3]), (2, alone[4]), (None, near)]
+    rows += [(3, " ".join(base)), (4, near), (4, alone[5]), (3, alone[6]), (6, alone[7]), (6, alone[7]), (None, alone[7]), (7, " "), (7, None)]
+    gone = [(None, near), (4, near), (6, alone[7]), (None, alone[7])]
+    for parts in (1, 3, 5):
+        got = ngram_join.near_duplicates_removed(frame(spark, rows, extra=True).repartition(parts), ngram_join.JoinConfig(5, 80))
+        assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(rows) - Counter(gone)
+        assert got.columns == frame(spark, rows, extra=True).columns
+    assert ngram_join.near_duplicates_removed(frame(spark, []), ngram_join.JoinConfig(5, 80)).count() == 0
+    assert ngram_join.near_duplicates_removed(frame(spark, HOSTILE), ngram_join.JoinConfig(5, 80)).count() == len(HOSTILE) - 3
+
+
 def test_mixing(spark):
     rnd = random.Random(8)
     rows = [(i, " ".join(words(rnd, rnd.randrange(0, 30))), "en", rnd.choice([None, "a", "b", "c", "dd"]), 0) for i in range(400)]
