@@ -1,9 +1,11 @@
 """Quality rules: counted statistics, two plain rules, and robust multivariate outliers per language and source.
 
 Each text becomes a vector of transformed statistics. For every (lang, source) the minimum-covariance-determinant
-estimate is found with deterministic starts and concentration steps, each a pair of distributed aggregations over all
-rows: no group is gathered in one task and nothing is sampled. A document whose robust Mahalanobis distance is beyond
-the chi-square cut is rejected.
+estimate is found from three deterministic starts, each concentrated until its determinant falls no further, and the
+one of least determinant is taken. A concentration step is a pair of distributed aggregations over all rows: no group
+is gathered in one task and nothing is sampled. The covariance, and so the determinant, is the regularised one, with
+the squares of ``FLOORS`` on its diagonal. A document whose robust Mahalanobis distance is beyond the chi-square cut is
+rejected.
 
 Defined cases: null or empty text has zero counts and fails the base rules; null lang or source form groups of their
 own; repeated rows are judged one by one; a group of fewer than ``min_rows`` usable rows uses the estimate of all
@@ -35,7 +37,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 @dataclass(frozen=True)
 class OutlierConfig:
     core: float = 0.75  #: share of a group's rows that the estimate is concentrated on
-    steps: int = 3  #: concentration steps
+    steps: int = 50  #: concentration steps of a start at most; they end where the determinant falls no further
+    least_fall: float = 1e-6  #: of the determinant's logarithm in a step
     tail: float = 1e-5  #: chi-square tail beyond which a vector is an outlier
     min_rows: int = 60  #: groups with fewer usable rows take the estimate of all rows
     broadcast_groups: int = 20_000  #: estimates of more groups are joined by shuffle
@@ -151,6 +154,7 @@ def chi2_quantile(q: float, k: int) -> float:
 _P = len(FEATURES)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
 _PARAMS = [f"m{i}" for i in range(_P)] + [f"w{i}_{j}" for i, j in _PAIRS]
+_FOUND = ["g_lang", "g_source", "g_start", "g_n", "logdet", "before", *_PARAMS]
 
 
 def _distance() -> F.Column:
@@ -163,8 +167,26 @@ def _distance() -> F.Column:
     return out
 
 
+def _starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per group: medians, and the covariance by quartile ranges alone, with the correlation of tanh and with spatial signs."""
+    for pdf in frames:
+        rows = []
+        for r in pdf.to_dict("records"):
+            m, scale = (np.array([r[f"{c}{i}"] for i in range(_P)]) for c in ("med", "scale"))
+            tanh, sign = np.zeros((_P, _P)), np.zeros((_P, _P))
+            for i, j in _PAIRS:
+                tanh[i, j] = tanh[j, i] = r[f"t{i}_{j}"] - r[f"t{i}"] * r[f"t{j}"]
+                sign[i, j] = sign[j, i] = r[f"u{i}_{j}"]
+            spread = np.sqrt(np.maximum(np.diag(tanh), 1e-12))
+            shapes = np.eye(_P), tanh / np.outer(spread, spread), sign * _P / max(np.trace(sign), 1e-12)
+            for k, shape in enumerate(shapes):
+                inv = np.linalg.inv(shape * np.outer(scale, scale) + np.diag(np.square(FLOORS)))
+                rows.append([r["g_lang"], r["g_source"], k, r["g_n"], np.inf, np.inf, *m, *(inv[i, j] for i, j in _PAIRS)])
+        yield pd.DataFrame(rows, columns=_FOUND)
+
+
 def _inverse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per group: mean and inverse of the floored covariance from the moments."""
+    """Per group and start: mean, inverse and log determinant of the floored covariance from the moments."""
     for pdf in frames:
         rows = []
         for r in pdf.to_dict("records"):
@@ -174,8 +196,8 @@ def _inverse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] - m[i] * m[j]
             cov += np.diag(np.square(FLOORS))
             inv = np.linalg.inv(cov)
-            rows.append([r["g_lang"], r["g_source"], r["g_n"], *m, *(inv[i, j] for i, j in _PAIRS)])
-        yield pd.DataFrame(rows, columns=["g_lang", "g_source", "g_n", *_PARAMS])
+            rows.append([r["g_lang"], r["g_source"], r["g_start"], r["g_n"], np.linalg.slogdet(cov)[1], r["before"], *m, *(inv[i, j] for i, j in _PAIRS)])
+        yield pd.DataFrame(rows, columns=_FOUND)
 
 
 def _with(rows: DataFrame, params: DataFrame, config: OutlierConfig, few: bool) -> DataFrame:
@@ -190,22 +212,46 @@ def outliers(stats: DataFrame, config: OutlierConfig = OutlierConfig()) -> DataF
     sizes = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("g_n"))
     few = sizes.count() <= config.broadcast_groups
     moments = [F.avg(f"x{i}").alias(f"s{i}") for i in range(_P)] + [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i, j in _PAIRS]
-    ddl = "g_lang string, g_source string, g_n bigint, " + ", ".join(f"{c} double" for c in _PARAMS)
+    ddl = "g_lang string, g_source string, g_start int, g_n bigint, " + ", ".join(f"{c} double" for c in ["logdet", "before", *_PARAMS])
     half = "array(" + ", ".join(f"percentile_approx(x{i}, array(0.25D, 0.5D, 0.75D), 1000)" for i in range(_P)) + ")"
 
-    def start(grouped) -> DataFrame:
-        q = grouped.agg(F.count(F.lit(1)).alias("g_n"), F.expr(half).alias("q"))
-        spread = [F.lit(1.0) / (F.pow((F.col("q")[i][2] - F.col("q")[i][0]) / 1.349, 2) + FLOORS[i] ** 2) for i in range(_P)]
-        cols = [F.col("q")[i][1].alias(f"m{i}") for i in range(_P)] + [(spread[i] if i == j else F.lit(0.0)).alias(f"w{i}_{j}") for i, j in _PAIRS]
-        return q.select("g_lang", "g_source", "g_n", *cols)
+    def starts(rows: DataFrame, broadcast: bool) -> DataFrame:
+        q = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("g_n"), F.expr(half).alias("q"))
+        scale = [F.sqrt(F.pow((F.col("q")[i][2] - F.col("q")[i][0]) / 1.349, 2) + FLOORS[i] ** 2).alias(f"scale{i}") for i in range(_P)]
+        middle = stored(q.select("g_lang", "g_source", "g_n", *[F.col("q")[i][1].alias(f"med{i}") for i in range(_P)], *scale))
+        z = _with(rows, middle, config, broadcast).withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"med{i}")) / F.col(f"scale{i}") for i in range(_P)})
+        z = z.withColumn("far", F.greatest(F.sqrt(sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(_P))), F.lit(1e-12)))
+        z = z.withColumns({f"t{i}": F.tanh(f"z{i}") for i in range(_P)} | {f"u{i}": F.col(f"z{i}") / F.col("far") for i in range(_P)})
+        shapes = [F.avg(f"t{i}").alias(f"t{i}") for i in range(_P)] + [F.avg(F.col(f"{c}{i}") * F.col(f"{c}{j}")).alias(f"{c}{i}_{j}") for c in "tu" for i, j in _PAIRS]
+        own = [F.first(c).alias(c) for c in ["g_n", *(f"{c}{i}" for c in ("med", "scale") for i in range(_P))]]
+        return z.groupBy("g_lang", "g_source").agg(*own, *shapes).mapInPandas(_starts, ddl)
 
     def concentrate(rows: DataFrame, params: DataFrame, broadcast: bool) -> DataFrame:
         """One step: the rows nearest to the present centre give the next mean and covariance."""
         near = _with(rows, params, config, broadcast).withColumn("d2", _distance())
-        cut = near.groupBy(*keys).agg(F.percentile_approx("d2", config.core, 1000).alias("cut")).select(F.col("g_lang").alias("c_lang"), F.col("g_source").alias("c_source"), "cut")
-        on = F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source"))
-        core = near.drop("g_n", "g_lang", "g_source").join(F.broadcast(cut) if broadcast else cut, on).where(F.col("d2") <= F.col("cut"))
-        return core.groupBy(*keys).agg(F.count(F.lit(1)).alias("g_n"), *moments).mapInPandas(_inverse, ddl)
+        named = [F.col(c).alias(f"c_{c[2:]}") for c in ("g_lang", "g_source", "g_start")]
+        cut = near.groupBy(*named).agg(F.percentile_approx("d2", config.core, 10_000).alias("cut"))
+        on = F.col("g_lang").eqNullSafe(F.col("c_lang")) & F.col("g_source").eqNullSafe(F.col("c_source")) & (F.col("g_start") == F.col("c_start"))
+        core = near.drop("g_n").join(F.broadcast(cut) if broadcast else cut, on).where(F.col("d2") <= F.col("cut"))
+        return core.groupBy("g_lang", "g_source", "g_start").agg(F.count(F.lit(1)).alias("g_n"), F.first("logdet").alias("before"), *moments).mapInPandas(_inverse, ddl)
+
+    def least(rows: DataFrame, broadcast: bool) -> DataFrame:
+        """Every start is concentrated until its determinant falls no further; the least of each group is taken."""
+        active, ended = stored(starts(rows, broadcast)), []
+        falls = F.col("logdet") < F.col("before") - config.least_fall
+        for _ in range(config.steps):
+            found = stored(concentrate(rows, active, broadcast))
+            ended.append(found.where(~falls))
+            active = found.where(falls)
+            if active.isEmpty():
+                break
+        else:
+            ended.append(active)
+        every = ended[0]
+        for e in ended[1:]:
+            every = every.union(e)
+        best = every.groupBy("g_lang", "g_source").agg(F.min_by(F.struct("g_n", *_PARAMS), F.struct("logdet", "g_start")).alias("best"))
+        return best.select("g_lang", "g_source", "best.*")
 
     def scaled(rows: DataFrame, params: DataFrame, broadcast: bool) -> DataFrame:
         """Distances are scaled so that their median is that of chi-square."""
@@ -213,9 +259,7 @@ def outliers(stats: DataFrame, config: OutlierConfig = OutlierConfig()) -> DataF
         return mid.select(F.col("g_lang").alias("h_lang"), F.col("g_source").alias("h_source"), F.greatest(F.col("mid") / chi2_quantile(0.5, _P), F.lit(1.0)).alias("ratio"), "n_all")
 
     def estimate(rows: DataFrame, broadcast: bool) -> DataFrame:
-        params = stored(start(rows.groupBy(*keys)))
-        for _ in range(config.steps):
-            params = stored(concentrate(rows, params, broadcast))
+        params = stored(least(rows, broadcast))
         r = scaled(rows, params, broadcast)
         on = F.col("g_lang").eqNullSafe(F.col("h_lang")) & F.col("g_source").eqNullSafe(F.col("h_source"))
         return stored(params.join(r, on).drop("h_lang", "h_source", "g_n"))
