@@ -244,7 +244,7 @@ def _by_partition(records) -> list[bytes]:
 def katz_scores(docs: DataFrame, config: KatzConfig = KatzConfig()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
-    context, n = spark.sparkContext, bucket_count(spark) * config.spread
+    context, n = spark.sparkContext, bucket_count(docs) * config.spread
     frequent = context.broadcast(frequent_histories(docs, n, config))
     identity = lambda k: k
     dealt = docs.select("doc_id", "text").mapInArrow(_deal(frequent, n, config), "home int, blob binary")

@@ -3,20 +3,22 @@
 1. Documents with equal shingle sets are one node (a 64-bit digest of the set).
 2. Top-level regions. Unrelated texts are all at distance 1 from each other, so triangle-inequality windows around
    pivots of the whole corpus would replicate every document to every region. Nodes therefore first meet by partition
-   signatures: the shingle space is dealt into more parts than two linked sets can differ in, so linked nodes agree in
-   at least one part's content that is not common to many documents, or else share a rare shingle. Pairs that share a signature are dropped where the
-   distance of their profiles, a lower bound, exceeds what links allow; the rest make candidate regions (components).
-3. Pivot join. A large region is dealt out by pivots: each node goes to its nearest pivot's Voronoi region and, by the
-   triangle inequality, to every region whose pivot is at most twice the link distance further. Nodes linked to their
-   pivot are already connected to each other. Regions are joined recursively: inside a task every next pivot prunes
-   partners by the triangle windows of the pivots before it, and exact intersections decide. Regions that are still
-   too large are joined as pairs of blocks.
+   signatures: the shingle space is dealt into more parts than two linked sets can differ in, so linked nodes agree in a
+   known least number of parts. Pairs that share fewer signatures than that, or whose sizes or profiles (a lower bound of
+   the distance) rule a link out, are dropped; the rest make candidate regions (components).
+3. Pivot join, recursive. A region that does not fit a task is dealt out by pivots: every node learns its distance to
+   each pivot, nodes linked to a pivot are joined to it, and each node goes to its nearest pivot's Voronoi region and, by
+   the triangle inequality, to every region whose pivot is at most twice the link distance further. Only keys are dealt.
+   What the links so far have already joined needs no comparison: a region keeps the nodes outside its largest
+   component and, of that component, those within their windows. The regions are then joined in the same way, and
+   inside a task every next pivot prunes partners by the windows of the pivots before it. A region that pivots do not
+   thin out is joined as blocks of the nodes outside its largest component against blocks of all.
 4. Components of the links give each document its class.
 
 Exact up to 64-bit hash collisions. Defined cases: a null or wordless text has an empty set and no links; fewer words
 than ``k`` make one shingle; repeated rows and equal sets share a component; rows of a null doc_id take part, and the
-id of a component is its least non-null doc_id; other columns are ignored, whatever their names; an empty table gives
-an empty result.
+id of a component is its least non-null doc_id; other columns are ignored, whatever their names; a long text is one set
+like any other, and regions are bounded by shingles as well as rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,9 +42,10 @@ from .textcore import U64, Words, batches, bucket_count, deltas, discard, free_s
 class JoinConfig:
     k: int = 3  #: words in a shingle
     percent: int = 90  #: two sets link when 100 * intersection >= percent * union
-    region_rows: int = 3000  #: larger regions are dealt out by pivots, then by pairs of blocks
+    region_rows: int = 3000  #: larger regions are dealt out by pivots
     region_items: int = 4_000_000  #: the same bound in shingles
-    pivots: int = 8
+    pivots: int = 16
+    levels: int = 6  #: levels of pivots at most; what is still too large then is joined by blocks
     few: int = 32  #: groups of one signature up to this size are compared pair by pair, larger ones up to region_rows by pivots
     sample: int = 8000  #: documents in which common shingles are looked for
 
@@ -59,8 +62,9 @@ def classes(config: JoinConfig, most: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def signatures(items: np.ndarray, config: JoinConfig, table: list[tuple[int, int, int, int]], common: np.ndarray) -> np.ndarray:
-    """The part signatures of one set, for its own size class and the next ones that larger partners may be in.
+def signatures(items: np.ndarray, config: JoinConfig, table: list[tuple[int, int, int, int]], common: np.ndarray) -> tuple[np.ndarray, int, int, int]:
+    """The part signatures of one set, for its own size class and the next one that larger partners may be in; the own
+    class; and how many signatures a linked partner shares at least if the larger set is of the own or the next class.
 
     Linked sets agree in at least parts - differ parts. Parts that are empty or hold only ``common`` shingles say nothing and
     are left out; a set with so many of them that all agreed parts might be such gives the shingles of its prefix, rarest
@@ -68,12 +72,14 @@ def signatures(items: np.ndarray, config: JoinConfig, table: list[tuple[int, int
     a pair leave out the same.
     """
     n, t = len(items), config.percent
-    out = []
+    out: list[np.ndarray] = []
+    own, needs = -1, [0, 0]
     known = common[np.minimum(np.searchsorted(common, items), len(common) - 1)] == items if len(common) else np.zeros(n, dtype=bool)
     fallback = False
     for c, (lo, hi, differ, parts) in enumerate(table):
         if hi < n:
             continue
+        own = c if own < 0 else own
         if lo > max(n, 100 * n // t):
             break
         if not differ:
@@ -85,11 +91,13 @@ def signatures(items: np.ndarray, config: JoinConfig, table: list[tuple[int, int
         telling[part[~known].astype(np.int64)] = True
         filled = np.flatnonzero(telling)
         out.append(mix(mix(total[filled] + U64(c)) + filled.astype(U64)))
-        fallback |= parts - len(filled) >= parts - differ
+        fallback |= len(filled) <= differ
+        if c - own < 2:
+            needs[c - own] = max(0, len(filled) - differ)
     if fallback:
         rarest = items[np.lexsort((items, known))]
         out.append(mix(rarest[: n - -(-t * n // 100) + 1] + U64(0x5BD1E995)))
-    return np.concatenate(out) if out else items[:0]
+    return (np.concatenate(out) if out else items[:0]), own, needs[0], needs[1]
 
 
 def common_shingles(docs: DataFrame, config: JoinConfig) -> np.ndarray:
@@ -123,8 +131,14 @@ BINS = 64
 
 
 def profile(items: np.ndarray) -> bytes:
-    """Shingles per bin: the distance of two profiles is at most the symmetric difference of the sets."""
-    return np.minimum(np.bincount((mix(items) >> U64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """Shingles per bin, at least one bin for eight: the distance of two profiles, the finer one folded to the width of the
+    other, is at most the symmetric difference of the sets."""
+    bits = max(6, (max(len(items) - 1, 0) // 8).bit_length())
+    return np.minimum(np.bincount((mix(items) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int32)
 
 
 def nodes(docs: DataFrame, config: JoinConfig, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -141,36 +155,47 @@ def nodes(docs: DataFrame, config: JoinConfig, carry: tuple[str, ...] = ()) -> D
 
 
 def candidates(docs: DataFrame, config: JoinConfig) -> DataFrame:
-    """Candidate links between nodes that share a signature, as (a, b, kind): 0, a pair of a small group; 1, node a of the
-    middling group b; 2, a link of the star of a large group."""
-    buckets = bucket_count(docs.sparkSession)
+    """What signatures say of nodes, as (a, b, kind, n, m) with ``n`` a number of signatures: kind 0, the nodes a and b share n
+    in small groups; 1, node a is in the middling group b; 2, node a is linked to the head b of a large group; 16 + c, node a
+    of size class c has b shingles and shares n signatures with a linked partner at least, m if that is of the next class."""
+    buckets = bucket_count(docs)
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, config))
     flush = 1 << 20
 
     def deal(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, common = classes(config, 1 << 40), shared.value
         held: list = []
+        facts: list = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             sig, node = (np.concatenate(x) for x in zip(*held))
+            fact = np.array(facts, dtype=np.int64).reshape(-1, 5)
             held.clear()
+            facts.clear()
             sig >>= U64(16)  # 48 bits: what meets by chance is told apart below
-            bucket = (sig >> U64(4)) % U64(buckets)
+            bucket, home = ((sig >> U64(4)) % U64(buckets)).astype(np.int64), (fact[:, 0].view(U64) % U64(buckets)).astype(np.int64)
             order = np.lexsort((node, sig, bucket))
             sig, node, bucket = sig[order], node[order], bucket[order]
             new = np.ones(len(sig), dtype=bool)
             new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
             sig, node, bucket = sig[new], node[new], bucket[new]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=U64(buckets)))
-            ends = [*cuts[1:], len(sig)]
-            rows = [(int(bucket[i]), pack(deltas(sig[i:j]), node[i:j])) for i, j in zip(cuts, ends)]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+            order = np.argsort(home, kind="stable")
+            fact, home = fact[order], home[order]
+            at = np.unique(np.concatenate([bucket, home]))
+            cuts = np.searchsorted(bucket, at), np.searchsorted(bucket, at, "right"), np.searchsorted(home, at), np.searchsorted(home, at, "right")
+            blobs = [pack(deltas(sig[i:j]), node[i:j], *fact[k:m].T) for i, j, k, m in zip(*cuts)]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
         for _, texts in batches(source, "text"):
             for s in shingle_sets(texts, config.k):
-                if len(s) and len(sig := signatures(s, config, table, common)):
-                    held.append((sig, np.full(len(sig), digest(s), dtype=np.int64)))
+                if not len(s):
+                    continue
+                sig, own, least, next_least = signatures(s, config, table, common)
+                if len(sig):
+                    key = digest(s)
+                    held.append((sig, np.full(len(sig), key, dtype=np.int64)))
+                    facts.append((key, len(s), own, least, next_least))
                     size += len(sig)
                     if size >= flush:
                         yield from out()
@@ -186,6 +211,9 @@ def candidates(docs: DataFrame, config: JoinConfig) -> DataFrame:
             return
         sig = np.concatenate([np.cumsum(p[0], dtype=U64) for p in parts])
         node = np.concatenate([p[1] for p in parts])
+        fact = [np.concatenate([p[k] for p in parts]) for k in range(2, 7)]
+        del parts
+        yield pa.RecordBatch.from_arrays([pa.array(fact[0]), pa.array(fact[1]), *(pa.array(x.astype(np.int32)) for x in (fact[2] + 16, fact[3], fact[4]))], names=names)
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
         fresh = np.ones(len(sig), dtype=bool)
@@ -195,62 +223,78 @@ def candidates(docs: DataFrame, config: JoinConfig) -> DataFrame:
         new[1:] = sig[1:] != sig[:-1]
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(sig)))
+        met = np.repeat(size > 1, size)
+        sig, node, size = sig[met], node[met], size[size > 1]
+        at = np.cumsum(size) - size
         first, left = np.repeat(at, size), np.repeat(at + size, size) - np.arange(len(sig))
         small = np.repeat(size, size) <= config.few
         large = np.repeat(size, size) > config.region_rows
-        star, member = large & (node != node[first]), ~small & ~large
-        a, b = [node[star], node[member]], [node[first[star]], sig[member].view(np.int64)]
-        kind = [np.full(int(star.sum()), 2), np.full(int(member.sum()), 1)]
+        member = ~small & ~large
+        a, b = [node[large], node[member]], [node[first[large]], sig[member].view(np.int64)]
+        kind = [np.full(len(a[0]), 2), np.full(len(a[1]), 1)]
         for step in range(1, config.few):
             i = np.flatnonzero(small & (left > step))
             if not len(i):
                 break
-            pair = node[i] != node[i + step]
-            a.append(node[i + step][pair])
-            b.append(node[i][pair])
-            kind.append(np.zeros(int(pair.sum()), dtype=np.int64))
+            a.append(node[i + step])
+            b.append(node[i])
+            kind.append(np.zeros(len(i), dtype=np.int64))
         a, b, kind = (np.concatenate(x) for x in (a, b, kind))
         order = np.lexsort((kind, b, a))
         a, b, kind = a[order], b[order], kind[order]
         keep = np.ones(len(a), dtype=bool)
         keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])
-        out = pa.RecordBatch.from_pydict({"a": a[keep], "b": b[keep], "kind": pa.array(kind[keep].astype(np.int32))})
-        del parts, sig, node, order, new, a, b, kind, keep, first, left, small, large
+        at = np.flatnonzero(keep)
+        n = np.diff(np.append(at, len(a)))
+        out = pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), *(pa.array(x.astype(np.int32)) for x in (kind[at], n, np.zeros(len(at))))], names=names)
+        del sig, node, order, new, a, b, kind, keep, first, left, small, large
         release()
         yield out
 
+    names = ["a", "b", "kind", "n", "m"]
     dealt = docs.select("text").mapInArrow(deal, "bucket int, blob binary")
-    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a bigint, b bigint, kind int")
-
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a bigint, b bigint, kind int, n int, m int")
 
-def _near(config: JoinConfig, x: np.ndarray, y: np.ndarray, na, nb) -> np.ndarray:
-    """Which sets may be linked, by the lower bound that profiles give and by size."""
-    keep = np.abs(x - y).sum(axis=1) * (100 + config.percent) <= (na + nb) * (100 - config.percent)
-    return keep & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * config.percent)
 
-
-def _profiles(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
+def _fits(config: JoinConfig, na, nb):
+    return (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * config.percent)
 
 
 def possible(found: DataFrame, rows: DataFrame, config: JoinConfig) -> DataFrame:
-    """Candidate links (a, b) without those whose profiles or sizes show that they cannot be links."""
-    facts = rows.where("node is not null").groupBy("node").agg(F.first("profile").alias("profile"), F.first("n_shingles").alias("n"))
-    left = facts.select(F.col("node").alias("a"), F.col("profile").alias("pa"), F.col("n").alias("na"))
-    right = facts.select(F.col("node").alias("b"), F.col("profile").alias("pb"), F.col("n").alias("nb"))
+    """Candidate links (a, b) without those that the number of shared signatures, sizes or profiles rule out."""
+    facts = found.where("kind >= 16").groupBy("a").agg(F.first("b").alias("n"), F.first(F.col("kind")).alias("c"), F.first("n").alias("own"), F.first("m").alias("next"))
+    # Signatures that a node has in larger groups are not counted pair by pair.
+    away = found.where("kind IN (1, 2)").groupBy("a").agg(F.sum("n").alias("away"))
+    facts = facts.join(away, "a", "left").fillna(0, ["away"])
+    side = lambda k: facts.select(F.col("a").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "c", "own", "next", "away")))
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("met")).join(side("a"), "a").join(side("b"), "b")
+    up = lambda x, y: F.greatest(F.when(F.col(f"c_{y}") == F.col(f"c_{x}") + 1, F.col(f"next_{x}")).otherwise(0), F.col(f"own_{y}"))
+    need = F.when(F.col("c_a") == F.col("c_b"), F.greatest("own_a", "own_b")).when(F.col("c_a") < F.col("c_b"), up("a", "b")).otherwise(up("b", "a"))
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * config.percent
+    pairs = pairs.where(fits & (F.col("met") >= need - F.least("away_a", "away_b"))).select("a", "b")
+    seen = rows.where("node is not null").groupBy("node").agg(F.first("profile").alias("profile"), F.first("n_shingles").alias("n"))
+    left = seen.select(F.col("node").alias("a"), F.col("profile").alias("pa"), F.col("n").alias("na"))
+    right = seen.select(F.col("node").alias("b"), F.col("profile").alias("pb"), F.col("n").alias("nb"))
+    close = lambda d, na, nb: d * (100 + config.percent) <= (na + nb) * (100 - config.percent)
 
     def judge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            keep = pa.array(_near(config, _profiles(batch.column("pa")), _profiles(batch.column("pb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy()))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+            keep = []
+            for x, y, na, nb in zip(*(batch.column(c).to_pylist() for c in ("pa", "pb", "na", "nb"))):
+                width = min(len(x), len(y))
+                keep.append(close(int(np.abs(folded(x, width) - folded(y, width)).sum()), na, nb))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     def pivot(group: pa.Table) -> pa.Table:
-        node, n, x = group.column("a").to_numpy(), group.column("na").to_numpy(), _profiles(group.column("pa"))
+        node, n, raw = group.column("a").to_numpy(), group.column("na").to_numpy(), group.column("pa").to_pylist()
+        width = min(map(len, raw))
+        x = np.stack([folded(r, width) for r in raw])
         label = np.arange(len(node))
         for p in range(len(node)):
             rest = p + 1 + np.flatnonzero(label[p + 1 :] != label[p])
+            rest = rest[_fits(config, n[rest], n[p])]
             if len(rest):
-                near = rest[_near(config, x[rest], x[p], n[rest], n[p])]
+                near = rest[close(np.abs(x[rest] - x[p]).sum(axis=1), n[rest], n[p])]
                 if len(near):
                     label[np.isin(label, label[near])] = label[p]
         root = np.full(len(node), np.iinfo(np.int64).max)
@@ -258,7 +302,7 @@ def possible(found: DataFrame, rows: DataFrame, config: JoinConfig) -> DataFrame
         keep = root[label] != node
         return pa.table({"a": node[keep], "b": root[label][keep]})
 
-    pairs = found.where("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(judge, "a bigint, b bigint")
+    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(judge, "a bigint, b bigint")
     groups = found.where("kind = 1").join(left, "a").select("a", F.col("b").alias("sig"), "pa", "na").groupBy("sig").applyInArrow(pivot, "a bigint, b bigint")
     return pairs.union(groups).union(found.where("kind = 2").select("a", "b"))
 
@@ -267,14 +311,17 @@ def linked(inter: np.ndarray, n: int, sizes: np.ndarray, percent: int) -> np.nda
     return 100 * inter >= percent * (n + sizes - inter)
 
 
-def pivot_join(sets: list[np.ndarray], config: JoinConfig) -> np.ndarray:
-    """Components of one region: for each set the index of its component, by pivots and triangle-inequality windows."""
+def pivot_join(sets: list[np.ndarray], config: JoinConfig, known: np.ndarray | None = None) -> np.ndarray:
+    """Components of one region: for each set the index of its component, by pivots and triangle-inequality windows.
+
+    Sets of equal ``known`` are joined already.
+    """
     k = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
     universe, ids = np.unique(np.concatenate(sets), return_inverse=True)
     flags = np.zeros(len(universe), dtype=bool)
-    label = np.arange(k)
+    label = np.arange(k) if known is None else np.unique(known, return_inverse=True)[1]
     away = (100 - config.percent) / 100 + 1e-12
     windows: list[np.ndarray] = []
     open_ = np.ones(k, dtype=bool)
@@ -316,74 +363,126 @@ def _join_groups(config: JoinConfig):
         node = group.column("node").to_numpy()
         _, keep = np.unique(node, return_index=True)
         sets = _sets(group.take(pa.array(keep)))
-        node = node[keep]
-        label = pivot_join(sets, config)
-        roots = np.full(len(node), np.iinfo(np.int64).max)
-        np.minimum.at(roots, label, node)
-        root = roots[label]
+        node, root = node[keep], group.column("root").to_numpy()[keep]
+        label = pivot_join(sets, config, root)
+        least = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, node)
         release()
-        return pa.table({"a": pa.array(node), "b": pa.array(root)})
+        return pa.table({"a": pa.array(node), "b": pa.array(least[label])})
 
     return run
 
 
-def _deal_by_pivots(config: JoinConfig):
-    """One distributed level: links to pivots, and Voronoi regions with their windows."""
+def _distances(config: JoinConfig):
+    """One slice of a region against the region's pivots: the distance of every node to every pivot."""
 
     def run(group: pa.Table, pivots: pa.Table) -> pa.Table:
         node, sets, p_node, p_sets = group.column("node").to_numpy(), _sets(group), pivots.column("node").to_numpy(), _sets(pivots)
-        sizes = np.array([len(s) for s in sets])
-        away = np.empty((len(p_sets), len(sets)))
-        core = np.zeros((len(p_sets), len(sets)), dtype=bool)
+        empty = {c: [] for c in ("region", "node", "pivot", "away", "core")}
+        if not sets or not p_sets:
+            return pa.table(empty, schema=schema)
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        first = np.cumsum(sizes) - sizes
+        universe, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        away, core = np.empty((len(p_sets), len(sets))), np.zeros((len(p_sets), len(sets)), dtype=bool)
         for i, p in enumerate(p_sets):
-            inter = np.array([np.count_nonzero(np.isin(s, p, assume_unique=True)) for s in sets])
+            at = np.searchsorted(universe, p)
+            at = at[universe[np.minimum(at, len(universe) - 1)] == p]
+            flags = np.zeros(len(universe), dtype=bool)
+            flags[at] = True
+            inter = np.add.reduceat(flags[ids].astype(np.int32), first).astype(np.int64)
             away[i] = 1 - inter / (sizes + len(p) - inter)
             core[i] = linked(inter, len(p), sizes, config.percent)
         limit = away.min(axis=0) + 2 * (100 - config.percent) / 100 + 1e-9
-        rows = [(int(p_node[i]), j, bool(core[i, j]), float(away[i, j])) for i in range(len(p_sets)) for j in np.flatnonzero((away[i] <= limit) | core[i])]
-        items = group.column("items")
-        del sets, p_sets
+        i, j = np.nonzero((away <= limit) | core)
+        region = group.column("region")[0].as_py()
+        del sets, p_sets, ids, universe
         release()
-        return pa.table({
-            "region": pa.array([r[0] for r in rows], pa.int64()), "node": pa.array([int(node[r[1]]) for r in rows], pa.int64()), "core": pa.array([r[2] for r in rows], pa.bool_()),
-            "away": pa.array([r[3] for r in rows], pa.float64()), "items": items.take(pa.array([r[1] for r in rows], pa.int64())),
-        })
+        return pa.table({"region": pa.array(np.full(len(i), region)), "node": pa.array(node[j]), "pivot": pa.array(p_node[i]), "away": pa.array(away[i, j]), "core": pa.array(core[i, j])}, schema=schema)
 
+    schema = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("pivot", pa.int64()), ("away", pa.float64()), ("core", pa.bool_())])
     return run
 
 
+def _with_roots(keys: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``keys`` (region, node) with the root of each node under the links so far."""
+    if links is None:
+        return keys.withColumn("root", F.col("node"))
+    roots = components(links).groupBy("node").agg(F.min("root").alias("root"))
+    return keys.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _pivot_level(keys: DataFrame, members: DataFrame, sizes: DataFrame, level: int, config: JoinConfig) -> DataFrame:
+    """(region, node, pivot, away, core) of the nodes of large regions, for the pivots in whose windows they are."""
+    order = F.xxhash64("node", F.lit(level))
+    held = keys.join(sizes, "region")
+    chosen = held.where(F.pmod(order, F.col("rows")) < config.pivots).select("region", "node")
+    least = held.groupBy("region").agg(F.min_by("node", order).alias("node"))  # where no node is drawn
+    pivots = stored(chosen.union(least).distinct().join(members.select("node", "items"), "node"))
+    slices = F.ceil(F.greatest(F.col("rows") / F.lit(config.region_rows), F.col("total") / F.lit(config.region_items)) * 4).cast("long")
+    dealt = held.withColumn("slice", F.pmod(F.xxhash64("node", F.lit(7)), slices)).join(members.select("node", "items"), "node").select("region", "slice", "node", "items")
+    spread = pivots.join(sizes, "region").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).select("region", "slice", "node", "items")
+    found = dealt.groupBy("region", "slice").cogroup(spread.groupBy("region", "slice")).applyInArrow(_distances(config), "region bigint, node bigint, pivot bigint, away double, core boolean")
+    return stored(found)
+
+
+def _thinned(level: DataFrame, links: DataFrame, config: JoinConfig) -> DataFrame:
+    """The next regions (region, node, root, minor): a pivot's window, without pivots, whose links are all known, and without
+    the nodes of the window's largest component that no other node there may be linked to."""
+    near = (100 - config.percent) / 100 + 1e-9
+    pivots = level.select(F.col("pivot").alias("node")).distinct()
+    rest = _with_roots(level.join(pivots, "node", "left_anti").select(F.xxhash64("region", "pivot").alias("region"), "node", "away"), links)
+    rest = stored(rest)
+    count = rest.groupBy("region", "root").agg(F.count(F.lit(1)).alias("rows"))
+    main = count.groupBy("region").agg(F.max_by("root", F.struct("rows", "root")).alias("main"))
+    rest = rest.join(main, "region").withColumn("minor", F.col("root") != F.col("main"))
+    span = rest.where("minor").groupBy("region").agg(F.min("away").alias("lo"), F.max("away").alias("hi"))
+    return rest.join(span, "region").where(F.col("minor") | F.col("away").between(F.col("lo") - near, F.col("hi") + near)).select("region", "node", "root", "minor")
+
+
+def _blocks(keys: DataFrame, members: DataFrame, config: JoinConfig) -> DataFrame:
+    """(region, node, root, items) of pairs of blocks: those outside a region's largest component against all."""
+    full = keys.join(members.select("node", "n"), "node")
+    size = lambda w: F.greatest(F.sum(F.when(w, 1)) / F.lit(config.region_rows / 2), F.sum(F.when(w, F.col("n"))) / F.lit(config.region_items / 2))
+    count = full.groupBy("region").agg(F.ceil(F.coalesce(size(F.col("minor")), F.lit(1))).alias("few"), F.ceil(size(F.lit(True))).alias("many"))
+    dealt = full.join(count, "region")
+    own = F.xxhash64("node", F.lit(11))
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    against = dealt.withColumn("i", F.explode(each("few"))).withColumn("j", F.pmod(own, F.col("many")))
+    minor = dealt.where("minor").withColumn("i", F.pmod(own, F.col("few"))).withColumn("j", F.explode(each("many")))
+    both = against.select("region", "i", "j", "node", "root").union(minor.select("region", "i", "j", "node", "root")).distinct()
+    return both.select(F.xxhash64("region", "i", "j").alias("region"), "node", "root").join(members.select("node", "items"), "node")
+
+
 def region_links(members: DataFrame, config: JoinConfig) -> tuple[DataFrame, bool]:
     """Links (node a, node b) that join the members (region, node, n, items) of each region; whether they need components."""
-    size = members.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
-    large = stored(size.where((F.col("rows") > config.region_rows) | ((F.col("total") > config.region_items) & (F.col("rows") > 2))))
-    links = "a bigint, b bigint"
-    if large.isEmpty():
-        return members.select("region", "node", "items").groupBy("region").applyInArrow(_join_groups(config), links), False
-    small = members.join(large, "region", "left_anti").select("region", "node", "items")
-    big = stored(members.join(large, "region"))
-    rank = F.pmod(F.xxhash64("node"), F.col("rows"))
-    pivots = stored(big.where(rank < config.pivots).select("region", "node", "items"))
-    slices = F.ceil(F.col("rows") / F.lit(config.region_rows / 12)).cast("int")
-    dealt = big.withColumn("slice", F.pmod(F.xxhash64("node", F.lit(7)), slices)).select("region", "slice", "node", "items")
-    spread = pivots.join(large.withColumn("slices", slices).select("region", "slices"), "region").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    spread = spread.select("region", F.col("slice").cast("long").alias("slice"), "node", "items")
-    dealt = dealt.withColumn("slice", F.col("slice").cast("long"))
-    level = stored(dealt.groupBy("region", "slice").cogroup(spread.groupBy("region", "slice")).applyInArrow(_deal_by_pivots(config), "region bigint, node bigint, core boolean, away double, items binary"))
-    direct = level.where("core").select(F.col("node").alias("a"), F.col("region").alias("b"))
-    # Nodes that no pivot stands for at all keep their region; nodes linked to the pivot stay only where others may link to them.
-    others = level.where("NOT core").groupBy("region").agg(F.min("away").alias("least"))
-    stay = level.join(others, "region").where((~F.col("core")) | (F.col("away") >= F.col("least") - (100 - config.percent) / 100 - 1e-9)).select("region", "node", "items")
-    without = dealt.join(large, "region").join(pivots.select("region").distinct(), "region", "left_anti").select("region", "node", "items")
-    stay = stay.union(without)
-    count = stay.groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
-    block = config.region_rows // 2
-    blocks = F.ceil(F.col("rows") / F.lit(block)).cast("int")
-    stay = stay.join(count, "region").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = stay.withColumn("other", other).select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "items")
-    small = small.select("region", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", "items")
-    met = small.union(paired).groupBy("region", "lo", "hi").applyInArrow(_join_groups(config), links)
-    return met.union(direct), True
+    kind = "a bigint, b bigint"
+    bound = (F.col("rows") > 2) & ((F.col("rows") > config.region_rows) | (F.col("total") > config.region_items))
+    keys, links, level = members.select("region", "node", F.col("node").alias("root"), F.lit(True).alias("minor")), None, 0
+    ready, before = [], None
+    while True:
+        weighed = keys.join(members.select("node", "n"), "node").groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
+        large = stored(weighed.where(bound))
+        if large.isEmpty():
+            ready.append(keys)
+            break
+        ready.append(keys.join(large, "region", "left_anti"))
+        big = stored(keys.join(large.select("region"), "region", "left_semi"))
+        total = large.agg(F.sum("total")).first()[0]
+        if level == config.levels or (before is not None and total > 0.7 * before):
+            ready.append(_blocks(big, members, config))  # pivots no longer thin these regions out
+            break
+        before, level = total, level + 1
+        found = _pivot_level(big, members, large, level, config)
+        direct = found.where("core").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        links = stored(direct if links is None else links.union(direct))
+        keys = stored(_thinned(found, links, config))
+    whole = [k if "items" in k.columns else k.join(members.select("node", "items"), "node") for k in ready]
+    met = whole[0].select("region", "node", "root", "items")
+    for w in whole[1:]:
+        met = met.union(w.select("region", "node", "root", "items"))
+    met = met.groupBy("region").applyInArrow(_join_groups(config), kind)
+    return (met if links is None else met.union(links)), len(ready) > 1
 
 
 def joined(docs: DataFrame, config: JoinConfig, carry: tuple[str, ...] = ()) -> DataFrame:

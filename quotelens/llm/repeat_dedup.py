@@ -139,7 +139,7 @@ def text_digest(text: bytes) -> int:
 
 def repeated_anchors(docs: DataFrame, config: RepeatConfig) -> tuple[np.ndarray, np.ndarray]:
     """Two filters, a bit per prefix range: anchors that occur twice or more, and those in two or more contexts."""
-    buckets = bucket_count(docs.sparkSession)
+    buckets = bucket_count(docs)
     shift = U64(PREFIX - config.filter_bits)
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +314,7 @@ def _merge(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 def removed_spans(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> DataFrame:
     """doc_id, text and spans (array of struct lo, hi: the maximal removed byte runs) of every document."""
     spark = docs.sparkSession
-    buckets = bucket_count(spark) * config.spread
+    buckets = bucket_count(docs) * config.spread
     filters = spark.sparkContext.broadcast(repeated_anchors(docs, config))
     sent = docs.select("doc_id", "text").mapInArrow(_send(filters, config, buckets), "bucket int, blob binary")
     spans = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(config, buckets), "home int, blob binary")

@@ -180,8 +180,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(source: DataFrame, each: int = 32 << 20) -> int:
+    """Tasks for what is gathered from ``source``: one for ``each`` bytes of its files, and no fewer than shuffles have."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(1, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(-(-size // each), 1 << 20)) if size < 1 << 60 else least
 
 
 def shared_dir(spark: SparkSession) -> str:

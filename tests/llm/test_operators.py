@@ -157,7 +157,7 @@ def test_classifiers_on_held_out_rows(spark):
     assert len(kept & {d for d in range(700) if d % 5}) > 550 and len(kept & set(range(0, 700, 5))) < 15
 
 
-@pytest.mark.parametrize("config", [ngram_join.JoinConfig(), ngram_join.JoinConfig(5, 80), ngram_join.JoinConfig(5, 80, region_rows=10, pivots=4), ngram_join.JoinConfig(3, 70, few=2)])
+@pytest.mark.parametrize("config", [ngram_join.JoinConfig(), ngram_join.JoinConfig(5, 80), ngram_join.JoinConfig(3, 70, few=2, region_items=300, pivots=2), ngram_join.JoinConfig(3, 70, region_rows=8, levels=0), ngram_join.JoinConfig(5, 80, region_rows=6, few=3, pivots=1)])
 def test_join_against_all_pairs(spark, config):
     rnd = random.Random(7)
     vocab = [f"w{i}" for i in range(60)]
