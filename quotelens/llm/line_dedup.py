@@ -1,16 +1,17 @@
 """Line dedup by winnowing: later copies of runs of lines are deleted.
 
 A run is three or more consecutive lines, or one or two lines with ``long_words`` words in all; blank lines do not count
-and are never deleted. Fingerprints are the line hashes that are least in some window of ``window`` lines (so any run of
-that length shares one with its copies), and all lines of at least half of ``long_words`` words (so shorter runs do).
-Fingerprints seen twice in the corpus select the windows to compare; a match is extended in both directions by joining
-every window that holds a repeated fingerprint with the first place of an equal window, and the overlapping later
-windows make up the runs that are deleted. The first place of a window always stays.
+and are never deleted. Of every window of ``window`` lines the line of least hash is selected (winnowing), so any run of
+that length shares a selected line with its copies; of one or two lines with enough words the longest is. Only selected
+lines are fingerprints: their positions are joined with those of equal lines, and where a line is selected at more than
+one place the match is extended to the left and to the right over the windows that selected it. Windows that are equal
+there make up the runs, and the later ones are deleted; the first place of a window always stays.
 
 Defined cases: null text stays null; texts without lines of words are unchanged; the order of places is doc_id (null
 first), a digest of the text, line; rows repeated with one doc_id and text are one document; lines are compared as whole
 byte strings; columns other than doc_id, text and n_chars pass through under their own names. A document left without
-any line of words by deletions is reported with empty text. An empty table gives an empty result.
+any line of words by deletions is reported with empty text. A long text is read whole, and its windows are gathered in one row
+of the document. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeat_dedup import text_digest
 from .textcore import U64, Words, batches, mix, slice_hashes, stored
 
 
@@ -32,6 +32,7 @@ from .textcore import U64, Words, batches, mix, slice_hashes, stored
 class LineConfig:
     window: int = 3  #: lines in which a least hash is selected; runs of as many lines are found for certain
     long_words: int = 50  #: words that make a run of one or two lines
+    hot: int = 2000  #: keys with more than this part of all rows are joined by broadcast
 
 
 def _lines(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,8 +47,9 @@ def _lines(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarra
     return w, slice_hashes(w.data, starts[filled], ends[filled]), words[filled], doc[filled], number[filled]
 
 
-def windows(docs: DataFrame, config: LineConfig) -> DataFrame:
-    """doc_id, digest, line (of the non-blank lines), n, fp (fingerprint) and hash of every window that would make a run."""
+def positions(docs: DataFrame, config: LineConfig) -> DataFrame:
+    """doc_id, digest, fp (hash of a selected line) and windows (array of struct line, n, hash): those that selected it, and so
+    the ways in which a match of the line extends to the left and right. Lines are numbered without blank ones."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(source, "text"):
@@ -57,51 +59,63 @@ def windows(docs: DataFrame, config: LineConfig) -> DataFrame:
             first = np.searchsorted(doc, np.arange(len(texts)))
             line = np.arange(len(h)) - first[doc]
             left = np.bincount(doc, minlength=len(texts))[doc] - line
-            rows = []
+            found = []
             for n in range(1, config.window + 1):
                 m = len(h) - n + 1
                 if m <= 0:
                     break
                 total = sum(words[j : j + m] for j in range(n))
-                fit = (left[:m] >= n) & ((total >= config.long_words) if n < config.window else True)
-                value = np.full(m, n, dtype=U64)
+                at = np.flatnonzero((left[:m] >= n) & ((total >= config.long_words) if n < config.window else True))
+                value = np.full(len(at), n, dtype=U64)
                 for j in range(n):
-                    value = mix(value * U64(31) + h[j : j + m])
-                # The longest lines are fingerprints of their own; full windows take their least hash.
-                if n < config.window:
-                    most = np.stack([words[j : j + m] for j in range(n)]).argmax(axis=0)
-                    fp = h[np.arange(m) + most]
-                else:
-                    fp = np.stack([h[j : j + m] for j in range(n)]).min(axis=0)
-                at = np.flatnonzero(fit)
-                rows.append((doc[at], line[at], np.full(len(at), n), fp[at], value[at]))
-            d, line, n, fp, value = (np.concatenate(x) for x in zip(*rows))
-            digest = np.array([text_digest(t) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array(digest[d].astype(np.int64)), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(value.view(np.int64))], names=["doc_id", "digest", "line", "n", "fp", "hash"])
+                    value = mix(value * U64(31) + h[at + j])
+                own = [h[at + j] if n == config.window else -words[at + j] for j in range(n)]
+                found.append((at + (np.stack(own).argmin(axis=0) if len(at) else at), at, np.full(len(at), n), value))
+            chosen, at, n, value = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(chosen, kind="stable")
+            chosen, at, n, value = chosen[order], at[order], n[order], value[order]
+            cut = np.flatnonzero(np.diff(chosen, prepend=-1))
+            spot = chosen[cut]
+            places = pa.StructArray.from_arrays([pa.array(line[at].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(value.view(np.int64))], names=["line", "n", "hash"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(chosen)).astype(np.int32)), places)
+            d = pa.array(doc[spot])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(d), batch.column("digest").take(d), pa.array(h[spot].view(np.int64)), lists], names=["doc_id", "digest", "fp", "windows"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest bigint, line int, n int, fp bigint, hash bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, f"doc_id {kind}, digest bigint, fp bigint, windows array<struct<line:int,n:int,hash:bigint>>")
+
+
+def _joined(rows: DataFrame, keys: DataFrame, on: str, total: int, config: LineConfig) -> DataFrame:
+    """``rows`` with the columns of ``keys``, a stored table of ``on``, ``seen`` (how many rows have it) and others.
+
+    Keys of more than a ``hot``-th of all rows are at most ``hot``: they are broadcast, so that no task gets a hot key's rows.
+    """
+    often = F.col("seen") * config.hot > total
+    few = F.broadcast(keys.where(often).drop("seen"))
+    rest = rows.join(F.broadcast(keys.where(often).select(on)), on, "left_anti")
+    return rows.join(few, on).union(rest.join(keys.where(~often).drop("seen"), on))
 
 
 def later_windows(docs: DataFrame, config: LineConfig) -> DataFrame:
-    """doc_id, digest and runs (array of struct line, n) of documents with windows that occur earlier."""
-    rows = stored(windows(docs, config))
-    again = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("fp")
-    held = stored(rows.join(again, "fp", "left_semi"))
+    """run_doc, run_digest and runs (array of struct line, n) of documents with windows that occur earlier."""
+    rows = stored(positions(docs, config))
+    again = stored(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1"))
+    held = stored(_joined(rows, again, "fp", rows.count(), config).select("doc_id", "digest", F.inline("windows")))
     place = F.struct("doc_id", "digest", "line")
-    first = held.groupBy("fp", "hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("seen")).where("seen > 1").drop("seen")
-    later = held.join(first, ["fp", "hash"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("line", "n")).alias("runs")).withColumnRenamed("doc_id", "run_doc")
+    first = stored(held.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("seen")).where("seen > 1"))
+    later = _joined(held, first, "hash", held.count(), config).where(~place.eqNullSafe(F.col("first")))
+    runs = later.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("line", "n")).alias("runs"))
+    return runs.withColumnsRenamed({"doc_id": "run_doc", "digest": "run_digest"})
 
 
 def line_dedup(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     """``docs`` with later runs deleted from text, n_chars brought up to date, and n_lines, n_removed and n_runs added."""
     cut = later_windows(docs, config)
     counts = ["n_lines", "n_removed", "n_runs"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in [*counts, "run_doc", "runs", "digest"]])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in [*counts, "run_doc", "run_digest", "runs"]])
     names = docs.columns
-    by_doc = cut.groupBy("run_doc").agg(F.collect_list(F.struct("digest", "runs")).alias("runs"))
-    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("run_doc")), "left").drop("run_doc")
+    same = F.col("doc_id").eqNullSafe(F.col("run_doc")) & (F.xxhash64("text") == F.col("run_digest"))
+    joined = docs.join(cut, same, "left").drop("run_doc", "run_digest")
     schema = docs.schema
     for c in counts:
         schema = schema.add(c, "long")
@@ -114,9 +128,8 @@ def line_dedup(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
             runs = batch.column("runs").to_pylist()
             kept, removed, spans = [], [], []
             for i, t in enumerate(texts):
-                own = next((r["runs"] for r in runs[i] or [] if r["digest"] == text_digest(t)), [])
                 gone = np.zeros(total[i] + 1, dtype=bool)
-                for r in own:
+                for r in runs[i] or []:
                     gone[r["line"] : r["line"] + r["n"]] = True
                 gone = gone[: total[i]]
                 removed.append(int(gone.sum()))
