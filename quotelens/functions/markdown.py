@@ -77,39 +77,40 @@ def identity_flat(src: str) -> Flat:
     return Flat(t, [(0, len(src), 0, len(src))], [], [-1] * len(src), np.zeros(len(src), dtype=bool))
 
 
-_REGEX_SKIP = regex.compile(r"!\[[^\]]*\]\([^)]*\)")
-_REGEX_LINK = regex.compile(r"\[([^\]]*)\]\([^)]*\)")
-_REGEX_FENCE = regex.compile(r"```[^\n]*\n?(.*?)(?:```|$)", regex.S)
-_REGEX_HEAD = regex.compile(r"(?<![^\n])(?:#{1,6}\s+|>\s?|[-*+]\s+|\d+\.\s+|\|\s*)")
-_REGEX_RULE = regex.compile(r"\|?[\s:|-]+\|[ \t]*(?:\n|$)")
-_REGEX_NEXT = regex.compile(r"[!\[`#>*+|_~&\\\-0-9]")
-_REGEX_SIGNS = regex.compile(r"[*_~`]{1,3}")
+#: What the scanner knows of markup, in order of precedence; all else is visible as it stands.
+_MARKUP = regex.compile(
+    r"""
+    (?P<hidden> !\[ [^\]]*+ \] \( [^)]*+ \)                           # a picture
+      | ^ (?=[^\n]*\|) (?=[^\n]*-) [ \t|:-]++ (?:\n|\Z)               # the rule below a table's head
+      | ^ (?: \#{1,6}\s+ | > [ \t]? | [-*+]\s+ | [0-9]+\.\s+ | \|\s* )  # what opens a heading, quote, item or row
+      | (?!```) [*_~`]{1,3} )                                          # inline signs
+    | ``` [^\n]*+ \n? (?P<code> .*? ) (?: ``` | \Z )
+    | \[ (?P<label> [^\]]*+ ) \] \( [^)]*+ \)
+    | & (?P<entity> \#? [0-9A-Za-z]{1,32} ) ;
+    | \\ (?P<bare> . )
+    """,
+    regex.X | regex.S | regex.M,
+)
 
 
 def regex_flatten(src: str) -> Flat:
-    """An approximate flattener without a parser: one block."""
+    """An approximate flattener without a parser: one block, one left-to-right pass over signs that look like markup."""
     out, at = _Out(), 0
-    while at < len(src):
-        if m := _REGEX_SKIP.match(src, at):
-            at = m.end()
-        elif (m := _REGEX_LINK.match(src, at)) or (m := _REGEX_FENCE.match(src, at)):
-            out.run(src, m.start(1), m.end(1), -1)
-            at = m.end()
-        elif m := _REGEX_HEAD.match(src, at):
-            at = m.end()
-        elif (src[at] == "|" and (m := _REGEX_RULE.match(src, at))) or (m := _REGEX_SIGNS.match(src, at)):
-            at = m.end()
-        elif (m := ENTITY.match(src, at)) and (value := entity(m.group(1))):
-            out.put(value, at, m.end(), -1)
-            at = m.end()
-        elif src[at] == "\\" and at + 1 < len(src):
-            out.put(src[at + 1], at, at + 2, -1)
-            at += 2
+    for m in _MARKUP.finditer(src):
+        out.run(src, at, m.start(), -1)
+        at = m.end()
+        if m["hidden"] is not None:
+            continue
+        if m["entity"] is not None:
+            whole = ENTITY.fullmatch(m[0])
+            out.put((whole and entity(whole[1])) or "", m.start(), at, -1)
+            if not (whole and entity(whole[1])):
+                out.run(src, m.start(), at, -1)
+        elif m["bare"] is not None:
+            out.put(m["bare"], m.start(), at, -1)
         else:
-            m = _REGEX_NEXT.search(src, at + 1)
-            end = m.start() if m else len(src)
-            out.run(src, at, end, -1)
-            at = end
+            out.run(src, *m.span("code" if m["code"] is not None else "label"), -1)
+    out.run(src, at, len(src), -1)
     flat = out.flat([])
     flat.blocks = [(0, len(flat.text), 0, len(src))]
     return flat
@@ -329,18 +330,13 @@ def joined(flat: Flat) -> Flat | None:
 
 
 def expand_to_markers(flat: Flat, first: int, last: int, lo: int, hi: int) -> tuple[int, int]:
-    """Each end moves out of the constructs whose content edge it touches."""
-    for at, left in ((first, True), (last, False)):
-        owner = flat.inside[at] if 0 <= at < len(flat.inside) else -1
-        while owner >= 0:
-            outer_lo, outer_hi, inner_lo, inner_hi, parent = flat.constructs[owner]
-            if left and lo <= inner_lo:
-                lo = min(lo, outer_lo)
-            elif not left and hi >= inner_hi:
-                hi = max(hi, outer_hi)
-            else:
-                break
-            owner = parent
+    """Each end takes in the signs of the innermost construct whose content edge it touches."""
+    around = lambda at: flat.constructs[flat.inside[at]] if 0 <= at < len(flat.inside) and flat.inside[at] >= 0 else None
+    before, after = around(first), around(last)
+    if before and lo <= before[2]:
+        lo = min(lo, before[0])
+    if after and hi >= after[3]:
+        hi = max(hi, after[1])
     return lo, hi
 
 

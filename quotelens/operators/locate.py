@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.approx import SEED
-from ..functions.markdown import FLATTENERS, joined
+from ..functions.approx import GramFilter
+from ..functions.markdown import FLATTENERS, flatten, joined
 from ..functions.rules import rules, to_column
 from ..functions.scalars import line_of, occurrences, utf16_offset
 from ..options import NO_MATCH, MatchOptions, with_preset
-from .pairs import CAP, Matcher, implicit_anchors, marked_anchors, normalize, visible_text
+from .pairs import CAP, Matcher, _utf16, chain, implicit_anchors, marked_anchors, normalize, visible_text
 
 try:
     import ahocorasick
@@ -32,6 +32,13 @@ BLOCK_CHARS = 8_000_000
 RESULT = "found boolean, index int, length int, cp_index int, cp_length int, kind string, score double, occurrences int, punct_folded boolean, crosses_blocks boolean, via string, source string, text string, line int"
 
 
+def parallel(docs: DataFrame) -> DataFrame:
+    """``docs`` in a task for every core: a file of one row group is one task otherwise. Inputs of as many splits as cores, and so
+    all large ones, stay as they are and are not shuffled."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def blocks(excerpts: DataFrame, columns: list[str], limit: int = BLOCK_CHARS) -> Iterator[list]:
     """Rows of excerpts, a bounded block at a time."""
     held, size = [], 0
@@ -53,21 +60,23 @@ def _automaton(words: dict[str, list]):
     return a
 
 
-def exact_pairs(docs: DataFrame, excerpts: DataFrame, doc_id: str = "doc_id", excerpt_id: str = "item_id", text: str = "text", needle: str = "text") -> DataFrame:
-    """doc id, excerpt id, cp_index (first place), occurrences (overlapping, at most 50) of verbatim containment.
+def exact_pairs(docs: DataFrame, excerpts: DataFrame, doc_id: str = "doc_id", excerpt_id: str = "item_id", text: str = "text", needle: str = "text", coordinates: bool = False) -> DataFrame:
+    """doc id, excerpt id, cp_index (first place), occurrences (overlapping, at most 50) of verbatim containment; with
+    ``coordinates`` also index and length in UTF-16 units, cp_length and line.
 
-    Null and empty needles or texts match nothing.
+    Null and empty needles or texts match nothing. Rows are judged one by one, so null and repeated ids are kept apart.
     """
     kinds = docs.schema[doc_id].dataType.simpleString(), excerpts.schema[excerpt_id].dataType.simpleString()
-    schema = f"{doc_id} {kinds[0]}, {excerpt_id} {kinds[1]}, cp_index int, occurrences int"
+    more = ["index", "length", "cp_length", "line"] if coordinates else []
+    schema = ", ".join([f"{doc_id} {kinds[0]}, {excerpt_id} {kinds[1]}, cp_index int, occurrences int", *(f"{c} int" for c in more)])
     out = None
+    kind = excerpts.select(excerpt_id).schema
     for rows in blocks(excerpts, [excerpt_id, needle]):
         words: dict[str, list] = {}
         for i, w in rows:
             if w:
                 words.setdefault(w, []).append(i)
         shared = docs.sparkSession.sparkContext.broadcast(words)
-        kind = excerpts.select(excerpt_id).schema
 
         def run(source: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
@@ -75,20 +84,22 @@ def exact_pairs(docs: DataFrame, excerpts: DataFrame, doc_id: str = "doc_id", ex
             machine = _automaton(shared.value)
             id_type = to_arrow_type(kind[0].dataType)
             for b in source:
-                at, ids, first, count = [], [], [], []
+                at, ids, found = [], [], []
                 for row, t in enumerate(b.column(text).to_pylist()):
-                    seen: dict[str, list[int]] = {}
+                    seen: dict[tuple, list] = {}
                     if t and len(machine):
                         for end, (n, owners) in machine.iter(t):
                             hit = seen.setdefault((n, id(owners)), [end - n + 1, 0, owners])
                             hit[1] += 1
-                    for place, n, owners in seen.values():
-                        for i in owners:
-                            at.append(row)
-                            ids.append(i)
-                            first.append(place)
-                            count.append(min(n, CAP))
-                yield pa.RecordBatch.from_arrays([b.column(doc_id).take(pa.array(at, pa.int64())), pa.array(ids, id_type), pa.array(first, pa.int32()), pa.array(count, pa.int32())], names=[doc_id, excerpt_id, "cp_index", "occurrences"])
+                    for (size, _), (place, n, owners) in seen.items():
+                        own = [place, min(n, CAP)]
+                        if coordinates:
+                            own += [*_utf16(t, place, place + size), size, 1 + t.count("\n", 0, place)]
+                        at += [row] * len(owners)
+                        ids += owners
+                        found += [own] * len(owners)
+                columns = list(zip(*found)) or [()] * (2 + len(more))
+                yield pa.RecordBatch.from_arrays([b.column(doc_id).take(pa.array(at, pa.int64())), pa.array(ids, id_type), *(pa.array(c, pa.int32()) for c in columns)], names=[doc_id, excerpt_id, "cp_index", "occurrences", *more])
 
         part = docs.select(doc_id, text).mapInArrow(run, schema)
         out = part if out is None else out.union(part)
@@ -103,10 +114,9 @@ def exact_pairs_native(docs: DataFrame, excerpts: DataFrame, doc_id: str = "doc_
 
 
 def exact_matches(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
-    """Verbatim hits with coordinates in UTF-16 and code points, and line numbers."""
-    pairs = exact_pairs(docs, excerpts)
-    at = pairs.join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(excerpts.select("item_id", F.length("text").alias("cp_length"), F.col("text").alias("needle"))), "item_id")
-    return at.select("doc_id", "item_id", F.lit("exact").alias("kind"), utf16_offset(F.col("text"), F.col("cp_index")).alias("index"), utf16_offset(F.col("needle"), F.col("cp_length")).alias("length"), "cp_index", "cp_length", "occurrences", line_of(F.col("text"), F.col("cp_index")).alias("line"))
+    """Verbatim hits with coordinates in UTF-16 and code points, and line numbers, in the one pass that finds them."""
+    hits = exact_pairs(docs, excerpts, coordinates=True)
+    return hits.select("doc_id", "item_id", F.lit("exact").alias("kind"), "index", "length", "cp_index", "cp_length", "occurrences", F.col("line").cast("long").alias("line"))
 
 
 def normalized_column(column: str, o: MatchOptions) -> F.Column:
@@ -120,24 +130,40 @@ def normalized_pairs(docs: DataFrame, excerpts: DataFrame, o: MatchOptions | Non
     return exact_pairs(hay, excerpts.select("item_id", normalized_column("text", o).alias("text")))
 
 
-def _needles(rows: list, o: MatchOptions, fuzzy: bool) -> dict[str, list]:
-    """Strings whose presence in a normalised document makes an excerpt a candidate there."""
-    out: dict[str, list] = {}
-    for i, text in rows:
-        if not text:
-            continue
-        n = normalize(text, o).text
-        keys = set(marked_anchors(n, o)[:1])
-        if o.implicit_gap is not None:
-            keys.update(implicit_anchors(text, o)[:1])
-        if fuzzy:
-            size = min(SEED // 2, len(n))
-            keys.update(n[k : k + size] for k in range(len(n) - size + 1))
-        keys.add(text)
-        for k in keys:
-            if k:
-                out.setdefault(k, []).append(i)
-    return out
+class Wanted:
+    """A block of excerpts made ready to be sought in every document.
+
+    A document's view is looked at for an excerpt if it holds the excerpt or its normalised form, all of its anchors in order
+    within the gap, or, where there are fallbacks, enough of its pieces.
+    """
+
+    def __init__(self, texts: list[str | None], o: MatchOptions):
+        plain = replace(o, markdown=None)
+        self.chains: list[list[tuple[list[str], float]]] = []
+        self.whole: list[set[str]] = []
+        self.words: dict[str, list[int]] = {}
+        needles = []
+        for i, text in enumerate(texts):
+            shown = (flatten(text).text.rstrip("\n") if o.excerpt_is_markdown and o.markdown else text) if text else ""
+            n = normalize(shown, plain).text if shown else ""
+            anchors = [(marked_anchors(n, plain), plain.max_gap)] if n else []
+            if n and plain.implicit_gap is not None:
+                anchors.append((implicit_anchors(shown, plain), plain.implicit_gap))
+            self.chains.append([(a, gap) for a, gap in anchors if a])
+            self.whole.append({x for x in (n, "" if o.excerpt_is_markdown else text) if x})
+            for key in {a[0] for a, _ in self.chains[i]} | self.whole[i]:
+                self.words.setdefault(key, []).append(i)
+            needles.append(n)
+        self.machine = _automaton(self.words)
+        self.grams = GramFilter(needles, o.min_fallback_score) if o.fallbacks else None
+
+    def near(self, text: str, norm: str) -> set[int]:
+        """The excerpts that a view of a document, as it is and normalised, is to be matched with."""
+        out: set[int] = set(self.grams.near(norm)) if self.grams else set()
+        if len(self.machine):
+            met = {i for part in {text, norm} for _, (_, owners) in self.machine.iter(part) for i in owners} - out
+            out |= {i for i in met if any(w in text or w in norm for w in self.whole[i]) or any(chain(norm, a, gap) for a, gap in self.chains[i])}
+        return out
 
 
 def _row(m: dict, text: str, o: MatchOptions, least: float) -> dict:
@@ -176,11 +202,12 @@ def _arrays(rows: list[dict]) -> list[pa.Array]:
     return [pa.array([r[n] for r in rows], t) for n, t in _fields()]
 
 
-def locate(docs: DataFrame, excerpts: DataFrame, o: MatchOptions | None = None, min_score: float = 0.0) -> DataFrame:
+def locate(docs: DataFrame, excerpts: DataFrame, o: MatchOptions | None = None, min_score: float = 0.0, exhaustive: bool = False) -> DataFrame:
     """All hits of a table of excerpts in a corpus: doc_id, item_id and the result columns; misses are left out.
 
-    A document is looked at for an excerpt if it holds one of the excerpt's anchors (for fallbacks: any of its overlapping
-    pieces of twelve characters), so documents that share nothing with an excerpt cost one automaton step a character.
+    A document is matched with the excerpts that ``Wanted.near`` names. For all tiers but the fuzzy one that leaves nothing
+    out. Fuzzy hits are found for certain up to (1 - min_fallback_score) * 2 / 3 edits a character of the excerpt, one in six at
+    0.75; ``exhaustive`` matches every document with every excerpt, for scores reached with more edits than that.
     """
     o = o or with_preset()
     kinds = docs.schema["doc_id"].dataType.simpleString(), excerpts.schema["item_id"].dataType.simpleString()
@@ -190,29 +217,28 @@ def locate(docs: DataFrame, excerpts: DataFrame, o: MatchOptions | None = None,
     native = not (o.markdown or o.cjk_numerals or o.ignore_particles)
     hay = normalized_column("text", plain) if native else F.lit(None).cast("string")
     for rows in blocks(excerpts, ["item_id", "text"]):
-        shared = docs.sparkSession.sparkContext.broadcast((_needles(rows, plain, bool(o.fallbacks)), dict(rows)))
+        shared = docs.sparkSession.sparkContext.broadcast(rows)
         id_field = excerpts.select("item_id").schema[0]
 
         def run(source: Iterator[pa.RecordBatch], shared=shared, id_field=id_field) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
 
-            words, texts = shared.value
-            machine, matcher = _automaton(words), Matcher(o)
+            rows, matcher = shared.value, Matcher(o)
+            wanted = Wanted([t for _, t in rows], o)
             for b in source:
                 at, ids, found = [], [], []
                 for row, (t, norm) in enumerate(zip(b.column("text").to_pylist(), b.column("norm").to_pylist())):
-                    if not t or not len(machine):
+                    if not t:
                         continue
-                    shown = t if native else searched_text(t, o)
-                    near: dict = {}
-                    for part in {shown, norm if native else normalize(shown, plain).text}:
-                        for _, (_, owners) in machine.iter(part):
-                            near.update(dict.fromkeys(owners))
-                    for i in near:
-                        r = _row(matcher.match(texts[i], t), t, o, min_score)
+                    if exhaustive:
+                        near = set(range(len(rows)))
+                    else:
+                        near = set().union(*(wanted.near(x, norm if native else normalize(x, plain).text) for x in searched_texts(t, o)))
+                    for i in sorted(near):
+                        r = _row(matcher.match(rows[i][1], t), t, o, min_score)
                         if r["found"]:
                             at.append(row)
-                            ids.append(i)
+                            ids.append(rows[i][0])
                             found.append(r)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(ids, to_arrow_type(id_field.dataType)), *_arrays(found)], names=["doc_id", "item_id", *(n for n, _ in _fields())])
 
@@ -221,13 +247,12 @@ def locate(docs: DataFrame, excerpts: DataFrame, o: MatchOptions | None = None,
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def searched_text(text: str, o: MatchOptions) -> str:
-    """The text that is searched: the document, or what its markup shows, with and without block separators."""
+def searched_texts(text: str, o: MatchOptions) -> list[str]:
+    """The texts that are searched: the document, or what its markup shows, with and without block separators."""
     if not o.markdown:
-        return text
+        return [text]
     flat = FLATTENERS[o.markdown](text)
-    j = joined(flat)
-    return flat.text + "\n" + (j.text if j else "")
+    return [flat.text, *(j.text for j in [joined(flat)] if j)]
 
 
 def with_misses(pairs: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:

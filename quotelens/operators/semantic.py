@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
@@ -15,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from ..functions.negation import negations_conflict
+from ..functions.negation import detect_negation, negations_conflict
 from ..functions.rules import HOLD
 from ..functions.scalars import clamp01
 from ..options import MatchOptions, with_preset
-from .locate import RESULT, _arrays, _fields, _row
+from .locate import RESULT, _arrays, _fields, _row, blocks, locate
 from .pairs import Matcher
 
 ENDS = "。！？；.!?;"
@@ -28,16 +29,17 @@ LONGEST = 300
 
 
 def split_segments(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """doc_id, seg_index, start (0-based code points) and segment: cut at newlines and after sentence ends, and hard at ``longest``."""
-    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(0)).alias("whole"), F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(1)).alias("own"))
-    parts = docs.select("doc_id", F.posexplode(both).alias("k", "p")).select("doc_id", "k", F.col("p.whole").alias("whole"), F.col("p.own").alias("own"))
-    before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = parts.withColumn("at", F.sum(F.length("whole")).over(before) - F.length("own"))
-    pieces = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("own") - 1) / F.lit(longest)).cast("int")))
-    cut = placed.where("own <> ''").withColumn("piece", F.explode(pieces))
-    cut = cut.select("doc_id", (F.col("at") + F.col("piece") * longest).alias("start"), F.substring("own", F.col("piece") * longest + 1, F.lit(longest)).alias("segment"))
-    order = Window.partitionBy("doc_id").orderBy("start")
-    return cut.select("doc_id", (F.row_number().over(order) - 1).alias("seg_index"), "start", "segment")
+    """doc_id, seg_index, start (0-based code points) and segment: cut at newlines and after sentence ends, and hard at ``longest``.
+
+    All is computed within the row of a document; nothing is shuffled.
+    """
+    whole, own = (F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(g)) for g in (0, 1))
+    ends = F.aggregate(whole, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(w))))
+    rows = docs.select("doc_id", own.alias("own"), ends.alias("ends"))
+    starts = F.transform("own", lambda x, k: F.struct((F.get("ends", k + 1) - F.length(x)).alias("at"), x.alias("own")))
+    cuts = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p["own"]) - 1) / F.lit(longest)).cast("int")), lambda i: F.struct((p["at"] + i * longest).alias("start"), F.substring(p["own"], i * longest + 1, F.lit(longest)).alias("segment")))
+    pieces = F.flatten(F.transform(F.filter(starts, lambda p: p["own"] != ""), cuts))
+    return rows.select("doc_id", F.posexplode(pieces).alias("seg_index", "piece")).select("doc_id", "seg_index", "piece.start", "piece.segment")
 
 
 def overlap_score(excerpt: Column, segment: Column) -> Column:
@@ -55,6 +57,79 @@ def recall(segments: DataFrame, excerpts: DataFrame, retriever: Callable[[Column
     return scored.withColumn("recall_rank", F.row_number().over(rank) - 1).where(F.col("recall_rank") < top_k)
 
 
+def recall_corpus(docs: DataFrame, excerpts: DataFrame, top_k: int = 3, least: float = 0.5, check_polarity: bool = True) -> DataFrame:
+    """For every excerpt (item_id, excerpt) the best ``top_k`` of all segments of all documents, by the share of its characters.
+
+    Excerpts go out in blocks of bounded size; each task scores its segments against all of them by one matrix product and
+    keeps the best of each excerpt, so what is shuffled is at most ``top_k`` rows an excerpt and task. Ties fall to the least
+    doc_id, then the first segment; segments of opposite polarity are passed over. Null excerpts and texts recall nothing.
+    """
+    kinds = docs.schema["doc_id"].dataType.simpleString(), excerpts.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, excerpt string, seg_index int, start int, segment string, recall_score double"
+    id_type = to_arrow_type(excerpts.schema["item_id"].dataType)
+    segments = split_segments(docs)
+    out = None
+    for rows in blocks(excerpts, ["item_id", "excerpt"], limit=2_000_000):
+        shared = docs.sparkSession.sparkContext.broadcast([(i, e) for i, e in rows if e])
+
+        def run(source: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            rows = shared.value
+            alphabet = sorted({c for _, e in rows for c in e})
+            code = {c: k for k, c in enumerate(alphabet)}
+            counts = np.zeros((len(alphabet), len(rows)))
+            for j, (_, e) in enumerate(rows):
+                for c in e:
+                    counts[code[c], j] += 1
+            odd = [len(detect_negation(e)) % 2 for _, e in rows]
+            length = np.array([len(e) for _, e in rows])
+            best: list[list[tuple]] = [[] for _ in rows]
+            for b in source:
+                texts = b.column("segment").to_pylist()
+                held = np.zeros((len(texts), len(alphabet)))
+                for k, t in enumerate(texts):
+                    held[k, [code[c] for c in set(t) if c in code]] = 1
+                ids, places, starts = (b.column(c).to_pylist() for c in ("doc_id", "seg_index", "start"))
+                score = (held @ counts) / length
+                polarity: dict[int, int] = {}
+                for j, own in enumerate(best):
+                    floor = max(least, -own[-1][0]) if len(own) == top_k else least
+                    near = np.flatnonzero(score[:, j] >= floor)
+                    fresh = 0
+                    for k in sorted(near.tolist(), key=lambda k: (-score[k, j], ids[k] is not None, ids[k], places[k])):
+                        if fresh == top_k:
+                            break
+                        if not check_polarity or polarity.setdefault(k, len(detect_negation(texts[k])) % 2) == odd[j]:
+                            own.append((-score[k, j], ids[k] is not None, ids[k], places[k], starts[k], texts[k]))
+                            fresh += 1
+                    own.sort(key=lambda r: r[:4])
+                    del own[top_k:]
+            found = [(*r, j) for j, own in enumerate(best) for r in own]
+            columns = list(zip(*found)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([
+                pa.array(columns[2], to_arrow_type(docs_id)), pa.array([rows[j][0] for j in columns[6]], id_type), pa.array([rows[j][1] for j in columns[6]], pa.string()),
+                pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.string()), pa.array([-x for x in columns[0]], pa.float64()),
+            ], names=["doc_id", "item_id", "excerpt", "seg_index", "start", "segment", "recall_score"])
+
+        docs_id = docs.schema["doc_id"].dataType
+        part = segments.mapInArrow(run, schema)
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], schema)
+    rank = Window.partitionBy("item_id", "excerpt").orderBy(F.desc("recall_score"), "doc_id", "seg_index")
+    return out.withColumn("recall_rank", F.row_number().over(rank) - 1).where(F.col("recall_rank") < top_k)
+
+
+def locate_or_recall(docs: DataFrame, excerpts: DataFrame, o: MatchOptions | None = None, min_score: float = 0.0, least: float = 0.6) -> DataFrame:
+    """All tiers in one call: the hits of ``locate``, and for each excerpt that has none the best of what recall names: a segment
+    that aligns, or else the segment itself."""
+    hits = locate(docs, excerpts, o, min_score)
+    missed = excerpts.join(hits.select("item_id").distinct(), "item_id", "left_anti")
+    recalled = recall_corpus(docs, missed.select("item_id", F.col("text").alias("excerpt")))
+    last = semantic_matches(docs, recalled, o, least).where("found").where(F.col("score") >= min_score)
+    order = Window.partitionBy("item_id").orderBy(F.col("via") != "semantic", F.desc("score"), "doc_id")
+    return hits.unionByName(last.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth"))
+
+
 def normalize_scores(rows: DataFrame, score: str = "recall_score", by: tuple[str, ...] = ("doc_id", "item_id")) -> DataFrame:
     """Min-max scores within a pair; equal scores are all 1."""
     w = Window.partitionBy(*by)
@@ -62,9 +137,9 @@ def normalize_scores(rows: DataFrame, score: str = "recall_score", by: tuple[str
     return rows.withColumn("norm_score", F.when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low)))
 
 
-def segment_fallback(recalled: DataFrame) -> DataFrame:
+def segment_fallback(recalled: DataFrame, by: tuple[str, ...] = ("doc_id", "item_id")) -> DataFrame:
     """The top segment of each pair with its score as a segment-level hit."""
-    return normalize_scores(recalled).where("recall_rank = 0").withColumn("score", clamp01(F.col("norm_score") * 0.9))
+    return normalize_scores(recalled, by=by).where("recall_rank = 0").withColumn("score", clamp01(F.col("norm_score") * 0.9))
 
 
 def semantic_matches(docs: DataFrame, recalled: DataFrame, o: MatchOptions | None = None, least: float = 0.6) -> DataFrame:

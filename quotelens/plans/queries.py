@@ -19,8 +19,8 @@ ASCII = "".join(chr(c) for c in range(0x21, 0x7F))
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Inline texts: id, text.
 ROWS = [
-    (1, "人工智能没在改变世界"), (2, "人工智能在改变世界"), (3, "他不得不去"), (4, "非常高兴"), (5, "他未来会来"), (6, "别人没有说不是"), (7, "无限制套餐"), (8, "I don't know"),
-    (9, "辽阔的大地"), (10, "慢慢地走"), (11, "跑得快，值得"), (12, "目的地的土地"), (13, "한국어 문장 입니다"), (14, "ภาษาไทย ทดสอบ"), (15, "日本語のテキスト です"), (16, "中文 AI 中 文"),
+    (1, "列车没在站台停留"), (2, "列车在站台停留"), (3, "我们不得不等"), (4, "非常高兴"), (5, "他未来会来"), (6, "别人没有说不是"), (7, "无限量的纸张"), (8, "I don't know"),
+    (9, "宽广的大地"), (10, "慢慢地走"), (11, "跑得快，值得"), (12, "目的地的土地"), (13, "한국어 문장 입니다"), (14, "ภาษาไทย ทดสอบ"), (15, "日本語のテキスト です"), (16, "中文 AI 中 文"),
     (17, "a😀b 👍🏽 c"), (18, "👨‍👩‍👧 family"), (19, "é é x"), (20, ""),
 ]
 
@@ -30,8 +30,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, split over more tasks than files give at small scales."""
-    return _t(spark, sf_dir, "documents").select("doc_id", "text")
+    """Documents, in a task for every core at least."""
+    return locate.parallel(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _inline(spark: SparkSession) -> DataFrame:
@@ -107,7 +107,7 @@ def t0_occurrences(spark, sf_dir):
 
 
 def t0_native_join(spark, sf_dir):
-    return locate.exact_pairs_native(_docs(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism), _t(spark, sf_dir, "benchmark"))
+    return locate.exact_pairs_native(_docs(spark, sf_dir), _t(spark, sf_dir, "benchmark"))
 
 
 def t0_earliest(spark, sf_dir):
@@ -235,9 +235,14 @@ def lang_profile(spark, sf_dir):
 
 
 def space_between(spark, sf_dir):
-    """Whether the space after each character may go, for all pairs of neighbours around spaces in the inline texts."""
-    pairs = _inline(spark).select("id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S)(?= +(\S))"), F.lit(1))).alias("k", "a"))
-    return pairs.select("id", "k", "a", scalars.script_of(F.col("a")).alias("script"), scalars.can_drop_space_between(scalars.script_of(F.col("a")), scalars.script_of(F.col("a"))).alias("droppable"))
+    """Whether the space between two neighbours may go, for all pairs around spaces in the inline texts and the conversations."""
+    turns = _t(spark, sf_dir, "conversations").select((-F.col("conv_id") * 1000 - F.col("turn") - 1).cast("long").alias("id"), "text")
+    texts = _inline(spark).select(F.col("id").cast("long").alias("id"), "text").union(turns)
+    pairs = texts.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S(?= +\S)"), F.lit(0))).alias("k", "a"), "text")
+    right = F.regexp_extract_all("text", F.lit(r"\S +(?=(\S))"), F.lit(1))
+    pairs = pairs.select("id", "k", "a", F.get(right, F.col("k")).alias("b"))
+    left, after = scalars.script_of(F.col("a")), scalars.script_of(F.col("b"))
+    return pairs.select("id", "k", "a", "b", left.alias("script"), scalars.can_drop_space_between(left, after).alias("droppable"))
 
 
 def tokenize_char(spark, sf_dir):
@@ -304,11 +309,15 @@ c AS (SELECT doc_id, place, o, unnest(range(0, greatest(1, CAST(ceil(length(o) /
 seg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place + p * 300) - 1 AS seg_index, place + p * 300 AS start, substring(o, CAST(p * 300 + 1 AS BIGINT), 300) AS segment FROM c)"""
 
 
+def _paraphrased(benchmark: DataFrame) -> DataFrame:
+    """Every third word left out, which no exact tier forgives."""
+    return benchmark.select("item_id", F.array_join(F.filter(F.split("text", " "), lambda w, k: k % 3 != 2), " ").alias("text"))
+
+
 def _recalled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    docs, items = _docs(spark, sf_dir), _t(spark, sf_dir, "benchmark")
-    hits = locate.exact_pairs(docs, items).select("doc_id", "item_id")
-    pairs = hits.join(F.broadcast(items.select("item_id", F.col("text").alias("excerpt"))), "item_id")
-    return docs, semantic.recall(semantic.split_segments(docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")), pairs, check_polarity=False)
+    """The best segments of the whole corpus for every paraphrased excerpt."""
+    docs, items = _docs(spark, sf_dir), _paraphrased(_t(spark, sf_dir, "benchmark"))
+    return docs, semantic.recall_corpus(docs, items.select("item_id", F.col("text").alias("excerpt")))
 
 
 def recall_overlap_topk(spark, sf_dir):
@@ -316,23 +325,30 @@ def recall_overlap_topk(spark, sf_dir):
 
 
 def minmax_scores(spark, sf_dir):
-    return semantic.normalize_scores(_recalled(spark, sf_dir)[1]).select("doc_id", "item_id", F.col("recall_rank").cast("long").alias("recall_rank"), F.round("norm_score", 9).alias("norm_score"))
+    return semantic.normalize_scores(_recalled(spark, sf_dir)[1], by=("item_id",)).select("doc_id", "item_id", F.col("recall_rank").cast("long").alias("recall_rank"), F.round("norm_score", 9).alias("norm_score"))
 
 
 def segment_fallback(spark, sf_dir):
-    return semantic.segment_fallback(_recalled(spark, sf_dir)[1]).select("doc_id", "item_id", F.col("seg_index").cast("long").alias("seg_index"), F.round("score", 9).alias("score"))
+    return semantic.segment_fallback(_recalled(spark, sf_dir)[1], by=("item_id",)).select("doc_id", "item_id", F.col("seg_index").cast("long").alias("seg_index"), F.round("score", 9).alias("score"))
 
 
 def t4_aligned(spark, sf_dir):
-    docs, recalled = _recalled(spark, sf_dir)
-    return semantic.semantic_matches(docs, recalled).select("doc_id", "item_id", "kind", "via", "index", "length", F.round("score", 6).alias("score"))
-
-
-_RECALL_SQL = _SEGMENTS_SQL + """,
-h AS (SELECT d.doc_id, b.item_id, b.text AS excerpt FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND b.text <> ''),
-r AS (SELECT h.doc_id, h.item_id, seg_index, CAST(len(list_filter(string_split(excerpt, ''), lambda c: contains(segment, c) AND c <> '')) AS DOUBLE) / greatest(1, length(excerpt)) AS recall_score FROM h JOIN seg ON h.doc_id = seg.doc_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY recall_score DESC, seg_index) - 1 AS recall_rank FROM r WHERE recall_score >= 0.5),
-t AS (SELECT *, min(recall_score) OVER p AS low, max(recall_score) OVER p AS high FROM k WHERE recall_rank < 3 WINDOW p AS (PARTITION BY doc_id, item_id)),
+    """Excerpts and paraphrases of them: hits of the exact tiers, and recall with alignment for those that have none."""
+    docs, items = _docs(spark, sf_dir), _t(spark, sf_dir, "benchmark").select("item_id", "text")
+    both = items.union(_paraphrased(items).select(-F.col("item_id") - 1, "text"))
+    return semantic.locate_or_recall(docs, both).select("doc_id", "item_id", "kind", "via", "index", "length", F.round("score", 6).alias("score"))
+
+
+_RECALL_SQL = _SEGMENTS_SQL + f""",
+e AS (SELECT item_id, array_to_string(list_filter(string_split(text, ' '), lambda w, k: k % 3 <> 0), ' ') AS excerpt FROM benchmark WHERE text IS NOT NULL),
+x AS (SELECT item_id, excerpt, {_negations_sql('excerpt')} % 2 AS odd FROM e),
+ec AS (SELECT item_id, c, count(*) AS n FROM (SELECT item_id, unnest(string_split(excerpt, '')) AS c FROM e) GROUP BY item_id, c),
+sc AS (SELECT DISTINCT doc_id, seg_index, c FROM (SELECT doc_id, seg_index, unnest(string_split(segment, '')) AS c FROM seg)),
+mt AS (SELECT ec.item_id, sc.doc_id, sc.seg_index, sum(ec.n) AS n FROM sc JOIN ec ON sc.c = ec.c GROUP BY ALL),
+r AS (SELECT mt.*, CAST(n AS DOUBLE) / length(x.excerpt) AS recall_score, x.odd FROM mt JOIN x ON mt.item_id = x.item_id WHERE 2 * n >= length(x.excerpt)),
+sp AS (SELECT doc_id, seg_index, {_negations_sql('segment')} % 2 AS odd FROM seg),
+k AS (SELECT r.*, row_number() OVER (PARTITION BY item_id ORDER BY recall_score DESC, r.doc_id, r.seg_index) - 1 AS recall_rank FROM r JOIN sp ON r.doc_id = sp.doc_id AND r.seg_index = sp.seg_index AND r.odd = sp.odd),
+t AS (SELECT *, min(recall_score) OVER p AS low, max(recall_score) OVER p AS high FROM k WHERE recall_rank < 3 WINDOW p AS (PARTITION BY item_id)),
 n AS (SELECT *, CASE WHEN high = low THEN 1.0 ELSE (recall_score - low) / (high - low) END AS norm_score FROM t)"""
 
 
@@ -379,8 +395,42 @@ def cross_block(spark, sf_dir):
 
 
 def visible_of_markup(spark, sf_dir):
-    """Pages as raw markup: what of them is visible text outside tags, by length."""
-    return _t(spark, sf_dir, "pages").select("page_id", scalars.trim_markdown_edges(F.col("url")).alias("trimmed"))
+    """What a reader sees of whole documents that are written with headings, quotes, emphasis, code and links."""
+    import pyarrow as pa
+
+    from ..operators.pairs import visible_text
+
+    lines = F.transform(F.filter(F.split(F.regexp_replace("text", r"[^\p{L}\p{N} .,\n]", ""), "\n"), lambda s: F.trim(s) != ""), lambda s: F.trim(s))
+    first, rest = (lambda s: F.regexp_extract(s, r"^\S+", 0)), (lambda s: F.regexp_replace(s, r"^\S+", ""))
+    ways = [("**", "**"), ("`", "`"), ("[", "](http://a.b/c)"), ("> *", "*"), ("## ", "")]
+    dress = lambda s, k: F.element_at(F.array(*[F.concat(F.lit(a), first(s), F.lit(z), rest(s)) for a, z in ways]), (k % len(ways) + 1).cast("int"))
+    md = _docs(spark, sf_dir).where(F.size(lines) > 0).select("doc_id", F.array_join(F.transform(lines, dress), "\n\n").alias("md"))
+    o = with_preset(markdown="commonmark")
+
+    def run(source):
+        for b in source:
+            shown = [visible_text(t, o) for t in b.column("md").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shown, pa.string())], names=["doc_id", "shown"])
+
+    return md.mapInArrow(run, "doc_id bigint, shown string").select("doc_id", _digest("shown_md5", F.col("shown")))
+
+
+def t3_multi_hit(spark, sf_dir):
+    """Up to three places in each passage, said three times over, of the passage with some characters left out."""
+    import pyarrow as pa
+
+    from ..functions.approx import find
+
+    rows = _t(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.concat_ws(" ~~~~ ", "text", "text", "text").alias("hay"), F.regexp_replace("text", "(?s)(.{14}).", "$1").alias("needle"), F.length("text").alias("n"))
+
+    def run(source):
+        for b in source:
+            out = []
+            for i, hay, needle, n in zip(*(b.column(c).to_pylist() for c in ("item_id", "hay", "needle", "n"))):
+                out += [(i, k) for k in sorted((c.start + n // 2) // (n + 6) for c in find(needle, hay, most=3, least=0.9))]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int64())], names=["item_id", "copy"])
+
+    return rows.mapInArrow(run, "item_id bigint, copy bigint")
 
 
 _LOWER = [Lower()]
@@ -398,7 +448,7 @@ ignore_punct_symbols = _mapped(rules(replace(_IGNORE, punctuation_class=r"[\p{P}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        t0_exact_locate, t0_occurrences, t0_native_join, t0_earliest, t1_normalized_locate, t2_segmented, t2_gap_guard, t2_weak_anchor, t2_implicit, t3_fuzzy, t3_polarity_guard, match_result, miss_rows, best_tier,
+        t0_exact_locate, t0_occurrences, t0_native_join, t0_earliest, t1_normalized_locate, t2_segmented, t2_gap_guard, t2_weak_anchor, t2_implicit, t3_fuzzy, t3_multi_hit, t3_polarity_guard, match_result, miss_rows, best_tier,
         preset_matrix, negation_en, negation_zh, polarity_conflict, particle_fold, script_profile, lang_profile, space_between, tokenize_char, tokenize_word, grapheme_count, line_number, utf16_offset, norm_number_grouping,
         norm_identifiers, identifier_breaks, norm_width, norm_zero_width, norm_space_by_script, split_segments, recall_overlap_topk, minmax_scores, segment_fallback, t4_aligned, md_blocks, md_flatten_regex, cross_block, visible_of_markup,
     )
@@ -473,7 +523,12 @@ ORACLES: dict[str, str] = {
     "ignore_punct_drop": _md5(_without("\\p{P}")),
     "ignore_punct_symbols": _md5(_without("[\\p{P}\\p{S}]")),
     "t3_polarity_guard": "SELECT * FROM (VALUES (1, false, 'none'), (2, true, 'fuzzy'), (3, false, 'none')) AS v(id, found, kind)",
-    "space_between": "WITH m AS (SELECT id, regexp_extract_all(text, '(\\S) +', 1) AS a FROM " + _values() + "), u AS (SELECT id, unnest(a) AS a, generate_subscripts(a, 1) - 1 AS k FROM m), "
-    "c AS (SELECT *, CASE " + " ".join(f"WHEN regexp_matches(a, '^[{r}]') THEN '{n}'" for n, r in _RANGES_SQL.items()) + " ELSE 'other' END AS script FROM u) SELECT id, k, a, script, script IN ('han', 'kana') AS droppable FROM c",
-    "visible_of_markup": "SELECT page_id, url AS trimmed FROM pages",
+    "space_between": "WITH t AS (SELECT CAST(id AS BIGINT) AS id, text FROM " + _values() + " UNION ALL SELECT -conv_id * 1000 - turn - 1, text FROM conversations), "
+    "m AS (SELECT id, regexp_extract_all(text, '(\\S) +\\S', 1) AS x, regexp_split_to_array(text, ' +') AS w FROM t), "
+    "u AS (SELECT id, unnest(w) AS p, generate_subscripts(w, 1) AS i, len(w) AS n FROM m), v AS (SELECT id, i, right(p, 1) AS a, left(lead(p) OVER (PARTITION BY id ORDER BY i), 1) AS b FROM u), "
+    "f AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS k, a, b FROM v WHERE regexp_matches(a, '\\S') AND regexp_matches(b, '\\S')), "
+    "c AS (SELECT *, " + ", ".join("CASE " + " ".join(f"WHEN regexp_matches({x}, '^[{r}]') THEN '{n}'" for n, r in _RANGES_SQL.items()) + f" ELSE 'other' END AS {y}" for x, y in (("a", "script"), ("b", "other_script"))) + " FROM f) "
+    "SELECT id, k, a, b, script, script <> 'other' AND other_script <> 'other' AND (script <> other_script OR script IN ('han', 'kana')) AS droppable FROM c",
+    "visible_of_markup": f"SELECT doc_id, md5({_PLAIN_MD}) AS shown_md5 FROM documents WHERE len({_LINES_SQL}) > 0",
+    "t3_multi_hit": "SELECT item_id, unnest(range(3)) AS copy FROM benchmark WHERE text <> ''",
 }

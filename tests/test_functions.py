@@ -62,7 +62,7 @@ def test_presets():
     assert not is_hit(NO_MATCH)
 
 
-@pytest.mark.parametrize(("text", "n"), [("人工智能没在改变世界", 1), ("他不得不去", 2), ("非常高兴", 0), ("他未来会来", 0), ("don't know", 1), ("a notice of none", 1), ("无限制套餐", 0)])
+@pytest.mark.parametrize(("text", "n"), [("列车没在站台停留", 1), ("我们不得不等", 2), ("非常高兴", 0), ("他未来会来", 0), ("don't know", 1), ("a notice of none", 1), ("无限量的纸张", 0)])
 def test_negation(spark, text, n):
     assert len(negation.detect_negation(text)) == n
     assert spark.createDataFrame([(text,)], "t string").select(negation.negation_count(F.col("t"))).first()[0] == n
@@ -76,7 +76,7 @@ def test_negation_lexicon():
 
 def test_particles(spark):
     tagger = particles.guard_list_tagger()
-    assert tagger("辽阔的大地") == {2} and tagger("慢慢地走") == {2} and tagger("值得") == set()
+    assert tagger("宽广的大地") == {2} and tagger("慢慢地走") == {2} and tagger("值得") == set()
     rows = spark.createDataFrame([("慢慢地走在大地",)], "t string").select(particles.fold_particles(F.col("t"))).first()
     assert rows[0] == "慢慢的走在大地"
     assert particles.word_tagger(lambda t: [("慢", "d"), ("地", "uv")])("慢地") == {1}

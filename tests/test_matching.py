@@ -1,9 +1,12 @@
 """The ladder on single pairs, and the corpus operators against it."""
 
+import random
+
 import pytest
 
 from pyspark.sql import functions as F
 
+from quotelens.functions.negation import detect_negation
 from quotelens.operators import locate, semantic
 from quotelens.operators.pairs import Matcher
 from quotelens.options import with_preset
@@ -89,6 +92,76 @@ def test_locate_finds_what_pairs_find(corpus):
     assert locate.check_invariants(units).count() == 0
 
 
+@pytest.mark.parametrize(
+    "options",
+    [{"fallbacks": ("bitap",)}, {"preset": "loose", "fallbacks": ("bitap",)}, {"implicit_ellipsis": True}, {"max_gap": 30}, {"ignore_punctuation": True}, {"markdown": "commonmark", "excerpt_is_markdown": True}, {"preset": "strict", "markdown": "commonmark"}, {"markdown": "regex", "fallbacks": ("bitap",)}],
+)
+def test_locate_is_match_pairs_over_all_pairs(spark, options):
+    rnd = random.Random(12)
+    vocab = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 9))) for _ in range(400)]
+    sentence = lambda: " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(6, 14))).capitalize() + "."
+    docs = [(i, "\n\n".join(" ".join((sentence(), sentence(), "**" + sentence() + "**" if rnd.random() < 0.3 else sentence())) for _ in range(3))) for i in range(14)] + [(None, None), (99, "")]
+    items = []
+    for d, text in docs[:14]:
+        flat = text.replace("**", "")
+        a = rnd.randrange(len(flat) - 150)
+        part = flat[a : a + 110]
+        edit = lambda step, part=part: "".join(("#" if k % (2 * step) == 0 else "") if k % step == 0 else c for k, c in enumerate(part))
+        items += [part, part.upper(), edit(10), edit(12), part[:12][:5] + part[:12][6:], part[:40] + "..." + part[70:], text[a : a + 60], ". ".join(flat.split(". ")[:: 2])[:150]]
+    items += [None, "", "zz"]
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    right = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    o = with_preset(**options)
+    pairs = left.withColumnRenamed("text", "document").crossJoin(right.withColumnRenamed("text", "excerpt"))
+    key = lambda r: (r["doc_id"], r["item_id"], r["kind"], r["cp_index"], r["cp_length"])
+    every = {key(r): r["score"] for r in hits(locate.match_pairs(pairs, o)).collect()}
+    found = {key(r) for r in locate.locate(left, right, o).collect()}
+    assert found <= set(every)
+    # Fuzzy hits that are more than one edit in six away, such as chance likenesses of short excerpts, may be left out.
+    assert all(k[2] == "fuzzy" and s < 0.9 for k, s in every.items() if k not in found)
+    if o.fallbacks:
+        assert {key(r) for r in locate.locate(left, right, o, exhaustive=True).collect()} == set(every)
+        assert all(any(k[0] == d and k[1] == 8 * d + n for k in found) for d in range(14) for n in (2, 3))
+
+
+def test_null_and_repeated_ids_are_kept_apart(spark):
+    docs = spark.createDataFrame([(None, DOC), (None, "b " + DOC), (7, "lazy dog"), (7, "the lazy dog")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "lazy dog"), (1, "lazy"), (None, "lazy dog")], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["item_id"] or 0, r["cp_index"], r["cp_length"]) for r in locate.exact_matches(docs, items).collect())
+    assert len(got) == 12 and got == sorted((i, j, at, n) for i, at in ((0, DOC.index("lazy")), (0, DOC.index("lazy") + 2), (7, 0), (7, 4)) for j, n in ((1, 8), (1, 4), (0, 8)))
+
+
+@pytest.mark.parametrize("polarity", [True, False])
+def test_recall_over_the_corpus_by_definition(spark, polarity):
+    rnd = random.Random(13)
+    docs = [(i, " ".join(rnd.choice(["red", "green", "not", "never", "zebra", "x.", "quick!", "a\n"]) for _ in range(rnd.randrange(1, 40)))) for i in range(40)] + [(None, None), (50, "")]
+    items = [(1, "red zebra quick"), (2, "not green"), (3, "qqq"), (4, None), (5, "xyz abc red")]
+    left = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    right = spark.createDataFrame(items, "item_id long, excerpt string")
+    parts = [(r["doc_id"], r["seg_index"], r["segment"]) for r in semantic.split_segments(left).collect()]
+    odd = lambda t: len(detect_negation(t)) % 2
+    want = set()
+    for i, e in items:
+        scored = [(-sum(c in s for c in e) / len(e), d, k) for d, k, s in parts if not polarity or odd(s) == odd(e)] if e else []
+        want |= {(i, d, k, n) for n, (s, d, k) in enumerate(sorted(x for x in scored if x[0] <= -0.5)[:3])}
+    got = {(r["item_id"], r["doc_id"], r["seg_index"], r["recall_rank"]) for r in semantic.recall_corpus(left, right, check_polarity=polarity).collect()}
+    assert got == want and len(got) >= 6
+
+
+def test_recall_is_the_last_tier(spark):
+    docs = spark.createDataFrame([(1, DOC), (2, "Rain fell on the quiet harbour all night.")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "lazy dog"), (2, "Rain fell on quiet harbour night")], "item_id long, text string")
+    got = {r["item_id"]: (r["doc_id"], r["kind"]) for r in semantic.locate_or_recall(docs, items).collect()}
+    assert got == {1: (1, "exact"), 2: (2, "semantic")}
+
+
+def test_markers_of_the_innermost_construct():
+    o = with_preset(markdown="commonmark")
+    text = "See **[link text](http://u)** now, *a **b** c*."
+    span = lambda e: text[(m := Matcher(o).match(e, text))["cp_index"] : m["cp_index"] + m["cp_length"]]
+    assert span("link text") == "[link text](http://u)" and span("b") == "**b**" and span("a b") == "*a **b**"
+
+
 def test_segments_and_recall(spark):
     docs = spark.createDataFrame([(1, "One two three. Four five!\n\n" + "x" * 650), (2, None)], "doc_id long, text string")
     rows = semantic.split_segments(docs).orderBy("start").collect()
