@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import re
 
-# Digits and units.
+# Digits, units, signs and points, in both scripts.
 DIGITS = {c: v for v, cs in enumerate(("零〇", "一壹", "二贰两", "三叁", "四肆", "五伍", "六陆", "七柒", "八捌", "九玖")) for c in cs}
 UNITS = {"十": 10, "拾": 10, "百": 100, "佰": 100, "千": 1000, "仟": 1000}
-SECTIONS = {"万": 10**4, "亿": 10**8}
-CHINESE_NUMERAL_CHARS = frozenset({*DIGITS, *UNITS, *SECTIONS})
+SECTIONS = {"万": 10**4, "萬": 10**4, "亿": 10**8, "億": 10**8, "兆": 10**12}
+MINUS, POINT = "负負", "点點"
+CHINESE_NUMERAL_CHARS = frozenset({*DIGITS, *UNITS, *SECTIONS, *MINUS, *POINT})
 LONGEST = 16
 _RUN = re.compile("[" + "".join(sorted(CHINESE_NUMERAL_CHARS)) + "]+")
+_SPOKEN = re.compile(f"([{MINUS}]?)([^{MINUS}{POINT}]+)(?:[{POINT}]([{''.join(DIGITS)}]+))?")
 
 
-def parse_numeral(text: str) -> int | None:
-    """The value of a whole numeral, or None."""
-    if text and all(c in DIGITS for c in text):
+def _whole(text: str) -> int | None:
+    if all(c in DIGITS for c in text):
         return int("".join(str(DIGITS[c]) for c in text))
     total = section = 0
     digit: int | None = None
-    last_unit = last_section = 10**12
+    last_unit = last_section = 10**20
     for c in text:
         if c in DIGITS:
             if digit:
@@ -39,11 +40,22 @@ def parse_numeral(text: str) -> int | None:
             if not whole:
                 return None
             total += whole * SECTIONS[c]
-            section, digit, last_section, last_unit = 0, None, SECTIONS[c], 10**12
+            section, digit, last_section, last_unit = 0, None, SECTIONS[c], 10**20
     return total + section + (digit or 0)
 
 
-def numeral_at(text: str, at: int) -> tuple[int, int] | None:
+def parse_numeral(text: str) -> int | str | None:
+    """The value of a whole numeral, signed, as text where it has decimals; or None."""
+    m = _SPOKEN.fullmatch(text)
+    value = _whole(m[2]) if m else None
+    if value is None:
+        return None
+    if m[3]:
+        return ("-" if m[1] else "") + f"{value}." + "".join(str(DIGITS[c]) for c in m[3])
+    return -value if m[1] else value
+
+
+def numeral_at(text: str, at: int) -> tuple[int | str, int] | None:
     """The longest numeral of at most 16 characters at a place: value and length."""
     m = _RUN.match(text, at)
     for n in range(min(LONGEST, len(m.group())) if m else 0, 0, -1):

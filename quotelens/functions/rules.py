@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..options import ELLIPSIS_MARKER, MatchOptions
+from ..options import ELLIPSIS_MARKER, MatchOptions, Raw
 
 #: Stands for white space, and for punctuation that is ignored.
 HOLD = "\u0001"
@@ -68,7 +69,15 @@ class Lower:
     pass
 
 
-Rule = Sub | Table | Lower
+@dataclass(frozen=True)
+class Guarded:
+    """Other rules for what lies between the matches of ``keep``."""
+
+    keep: str
+    steps: tuple
+
+
+Rule = Sub | Table | Lower | Guarded
 
 
 @lru_cache(maxsize=1)
@@ -111,6 +120,15 @@ def punctuation_table() -> Table:
     return Table(tuple((c, g[0]) for g in PUNCTUATION_GROUPS for c in g[1:]))
 
 
+def keep_pattern(keep: tuple[str | Raw, ...]) -> str | None:
+    """What is kept from punctuation folding: literal texts in their compatibility form, and patterns as they are."""
+    quoted = [f"(?:{k.pattern})" if isinstance(k, Raw) else regex.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", unicodedata.normalize("NFKC", k)) for k in keep if k]
+    pattern = "|".join(q for q in quoted if q)
+    if pattern and regex.match(f"(?:{pattern})$", ""):
+        raise ValueError("a pattern to keep must not match the empty text")
+    return pattern or None
+
+
 def rules(o: MatchOptions) -> list[Rule]:
     """The stages in order: width, numbers, identifiers, case, punctuation and spaces."""
     out: list[Rule] = []
@@ -124,12 +142,15 @@ def rules(o: MatchOptions) -> list[Rule]:
         out.append(camel_rule())
     if o.ignore_case:
         out.append(Lower())
-    out.append(punctuation_table())
+    folds: list[Rule] = [punctuation_table()]
     if o.ignore_punctuation:
-        if o.ellipsis:
-            out.append(Sub(MARKER, MARK))
-        out.append(Sub(o.punctuation_class, HOLD))
-    out.append(Sub(f"[{SPACE}]+", HOLD))
+        if o.ellipsis and o.preserve_ellipsis:
+            folds.append(Sub(MARKER, MARK))
+        extra = regex.sub(r"([\[\]\\^&-])", r"\\\1", "".join(o.punctuation_extra))
+        folds.append(Sub(f"{o.punctuation_class}|[{extra}]" if extra else o.punctuation_class, HOLD))
+    folds.append(Sub(f"[{SPACE}]+", HOLD))
+    kept = keep_pattern(o.punctuation_keep) if o.ignore_punctuation else None
+    out += [Guarded(kept, tuple(folds))] if kept else folds
     if o.ignore_punctuation == "drop":
         out.append(Sub(HOLD, ""))
     else:
@@ -144,6 +165,9 @@ def to_column(text: Column, steps: list[Rule]) -> Column:
             text = F.regexp_replace(text, rule.pattern, rule.to.replace("\\", "\\\\").replace("$", "\\$"))
         elif isinstance(rule, Lower):
             text = F.lower(text)
+        elif isinstance(rule, Guarded):
+            parts = F.regexp_extract_all(text, F.lit(f"(?s)(?:{rule.keep})|(?:(?!{rule.keep}).)+"), F.lit(0))
+            text = F.array_join(F.transform(parts, _unless_kept(rule)), "")
         else:
             single = [(a, b) for a, b in rule.entries if len(b) == 1]
             several = [(a, b) for a, b in rule.entries if len(b) != 1]
@@ -158,6 +182,10 @@ def to_column(text: Column, steps: list[Rule]) -> Column:
     return text
 
 
+def _unless_kept(rule: Guarded) -> Callable[[Column], Column]:
+    return lambda part: F.when(part.rlike(f"(?s)^(?:{rule.keep})$"), part).otherwise(to_column(part, list(rule.steps)))
+
+
 @dataclass
 class Trace:
     """A text with the source interval (code points) of each character."""
@@ -219,6 +247,11 @@ def trace(text: str | Trace, steps: list[Rule]) -> Trace:
                 t = Trace(low, t.start, t.end)
             else:  # per character, so that later places do not shift
                 t = _substitute(t, [(i, i + 1, c.lower()) for i, c in enumerate(t.text) if c.lower() != c])
+        elif isinstance(rule, Guarded):
+            cuts = [0, *(x for m in _compiled(rule.keep).finditer(t.text) for x in m.span()), len(t.text)]
+            parts = [Trace(t.text[a:b], t.start[a:b], t.end[a:b]) for a, b in zip(cuts, cuts[1:])]
+            parts = [x if k % 2 else trace(x, list(rule.steps)) for k, x in enumerate(parts)]
+            t = t.take([(x.text, x.start, x.end) for x in parts])
         else:
             table, chars = _table(rule.entries)
             if not chars.isdisjoint(t.text):

@@ -15,6 +15,13 @@ ELLIPSIS_MARKER = "[〔\\[【][SPACE]*[.．…略]+[SPACE]*[〕\\]】]"
 DEFAULT_IMPLICIT_GAP = 500
 
 
+@dataclass(frozen=True)
+class Raw:
+    """A pattern, where a text would be taken literally."""
+
+    pattern: str
+
+
 @dataclass(frozen=True)
 class MatchOptions:
     """Options of the whole ladder; read on the driver and closed over by the plan."""
@@ -24,6 +31,9 @@ class MatchOptions:
     ignore_case: bool = True
     ignore_punctuation: bool | str = False  #: False, True or "fold", or "drop"
     punctuation_class: str = r"\p{P}"  #: what counts as punctuation
+    punctuation_extra: tuple[str, ...] = ()  #: further characters that count as punctuation
+    punctuation_keep: tuple[str | Raw, ...] = ()  #: texts, and patterns over normalised text, that no folding touches
+    preserve_ellipsis: bool = True  #: a marked omission is no punctuation
     ignore_width: bool = True
     number_grouping: bool = True
     grouping_underscore: bool = False
@@ -80,3 +90,8 @@ def with_preset(preset: str | None = None, **explicit: Any) -> MatchOptions:
 
 def is_hit(match: Mapping[str, Any]) -> bool:
     return match["kind"] != "none"
+
+
+def with_keep(o: MatchOptions, *keep: str | Raw) -> MatchOptions:
+    """``o`` with more to keep from punctuation folding; unchanged where nothing is folded or omissions are not preserved."""
+    return replace(o, punctuation_keep=o.punctuation_keep + keep) if o.ignore_punctuation and o.preserve_ellipsis else o

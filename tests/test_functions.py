@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quotelens.functions import approx, markdown, negation, numerals, particles, scalars
 from quotelens.functions.rules import HOLD, normalized, rules, to_column, trace
-from quotelens.options import NO_MATCH, is_hit, with_preset
+from quotelens.options import NO_MATCH, Raw, is_hit, with_keep, with_preset
 
 TRICKY = st.text(alphabet="aZ1 \t­​﻿ﬁ①Ｘ，、中文é👍한글カ,.!_-ß", max_size=24)
 
@@ -52,6 +52,34 @@ def test_rules(text, want):
     assert normalized(text, with_preset()) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "options", "want"),
+    [
+        ("left, right", {"ignore_punctuation": "drop", "punctuation_keep": (Raw(r"\s+"),)}, "left right"),
+        ("东……西", {"ignore_punctuation": True, "punctuation_keep": ("……",)}, "东......西"),
+        ("东……西", {"ignore_punctuation": True}, "东西"),
+        ("东……西", {"ignore_punctuation": True, "punctuation_keep": (Raw(r"\.{2,}"),)}, "东......西"),
+        ("东……西", {"ignore_punctuation": True, "punctuation_keep": (Raw("…+"),)}, "东西"),
+        ("a+b-c", {"ignore_punctuation": "drop", "punctuation_extra": ("+",)}, "abc"),
+        ("a+b-c", {"ignore_punctuation": "drop"}, "a+bc"),
+        ("x--y (z)", {"ignore_punctuation": "drop", "punctuation_keep": ("--", "(")}, "x--y(z"),
+    ],
+)
+def test_kept_punctuation(spark, text, options, want):
+    o = with_preset(**options)
+    assert normalized(text, o) == want
+    assert spark.createDataFrame([(text,)], "t string").select(to_column(F.col("t"), rules(o))).first()[0] == want
+
+
+def test_what_is_kept_can_be_added_to():
+    o = with_preset(ignore_punctuation=True, punctuation_keep=("--",))
+    assert with_keep(o, Raw("x+")).punctuation_keep == ("--", Raw("x+"))
+    off = with_preset(ignore_punctuation=True, preserve_ellipsis=False)
+    assert with_keep(off, "a") == off and with_keep(with_preset(), "a") == with_preset()
+    with pytest.raises(ValueError):
+        rules(with_preset(ignore_punctuation=True, punctuation_keep=(Raw("x*"),)))
+
+
 def test_presets():
     assert with_preset("loose", min_segment_length=9).min_segment_length == 9
     assert with_preset("strict").max_cross_blocks == 1 and not with_preset("strict").ellipsis
@@ -82,7 +110,7 @@ def test_particles(spark):
     assert particles.word_tagger(lambda t: [("慢", "d"), ("地", "uv")])("慢地") == {1}
 
 
-@pytest.mark.parametrize(("text", "value"), [("十", 10), ("二十三", 23), ("一百零五", 105), ("一千二百三十四", 1234), ("三万五千", 35000), ("一亿", 10**8), ("二〇二四", 2024), ("百千", None)])
+@pytest.mark.parametrize(("text", "value"), [("一兆", 10**12), ("三萬", 30000), ("三点五", "3.5"), ("负三", -3), ("負二十點零一", "-20.01"), ("点", None), ("三点", None), ("负", None), ("十", 10), ("二十三", 23), ("一百零五", 105), ("一千二百三十四", 1234), ("三万五千", 35000), ("一亿", 10**8), ("二〇二四", 2024), ("百千", None)])
 def test_numerals(text, value):
     assert numerals.parse_numeral(text) == value
 
