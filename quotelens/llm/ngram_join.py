@@ -539,3 +539,17 @@ def near_duplicates_removed(docs: DataFrame, config: JoinConfig) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(mark).alias("mark")))
     kept = rows.groupBy("root", F.when(F.col("root").isNull(), F.col(mark)).alias("alone")).agg(first.alias("kept")).select(F.col("kept.mark").alias(mark))
     return docs.withColumn(mark, row_mark(docs)).join(kept, mark).dropDuplicates([mark]).drop(mark)
+
+
+def join_sql(percent: int = 90) -> str:
+    """The links of three-word shingles by all pairs that share one, and their components, for DuckDB."""
+    upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n i ON x = i.doc_id JOIN n j ON y = j.doc_id WHERE 100 * c >= {percent} * (i.n + j.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON r.doc_id = e.x AND r.root < e.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, d.component_id FROM (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) d LEFT JOIN n ON d.doc_id = n.doc_id"""
