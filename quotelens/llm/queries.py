@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": ngram_join.join_sql(), "op5_mixing": mixing.mixing_sql(), "op7_preference_formatting": preference.preference_sql(), "op10_line_dedup": line_dedup.line_dedup_sql()}
+    return {"op4_ngram_join": ngram_join.join_sql(), "op5_mixing": mixing.mixing_sql(), "op7_preference_formatting": preference.preference_sql(), "op9_suffix_dedup": repeat_dedup.repeat_sql(), "op10_line_dedup": line_dedup.line_dedup_sql()}

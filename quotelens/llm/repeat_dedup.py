@@ -366,3 +366,21 @@ def digests(found: DataFrame) -> DataFrame:
 
 def repeat_dedup(docs: DataFrame, config: RepeatConfig = RepeatConfig()) -> DataFrame:
     return digests(removed_spans(docs, config))
+
+
+def repeat_sql(width: int = 100) -> str:
+    """The result for documents with unique doc_ids, by every window of ``width`` bytes, for DuckDB."""
+    step = 1000
+    return f"""
+WITH h AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+c AS (SELECT doc_id, k * {step} AS base, substring(h, k * {2 * step} + 1, {2 * (step + width - 1)}) AS piece FROM (SELECT doc_id, h, unnest(range(0, length(h) // {2 * step} + 1)) AS k FROM h)),
+v AS (SELECT doc_id, base + j AS i, md5(substring(piece, 2 * j + 1, {2 * width})) AS m FROM (SELECT *, unnest(range(0, least({step}, length(piece) // 2 - {width - 1}))) AS j FROM c)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS nth FROM v) WHERE nth > 1),
+o AS (SELECT *, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -{2 * width}) > {width} AS opens FROM f),
+g AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+s AS (SELECT doc_id, run, min(i) AS lo, max(i) + {width} AS hi FROM g GROUP BY doc_id, run),
+p AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s),
+k AS (SELECT p.doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substring(h.h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substring(any_value(h.h), 2 * max(hi) + 1) AS kept
+      FROM p JOIN h ON p.doc_id = h.doc_id GROUP BY p.doc_id)
+SELECT h.doc_id, length(h.h) // 2 AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, coalesce(k.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.kept, h.h))) AS kept_sha256
+FROM h LEFT JOIN k ON h.doc_id = k.doc_id"""
