@@ -9,13 +9,15 @@ there make up the runs, and the later ones are deleted; the first place of a win
 
 Defined cases: null text stays null; texts without lines of words are unchanged; the order of places is doc_id (null
 first), a digest of the text, line; rows repeated with one doc_id and text are one document; lines are compared as whole
-byte strings; columns other than doc_id, text and n_chars pass through under their own names. A document left without
+byte strings; columns other than doc_id, text and n_chars pass through under their own names, but those named as what
+``line_dedup`` adds or joins (``RESERVED``) give way to it. A document left without
 any line of words by deletions is reported with empty text. A long text is read whole, and its windows are gathered in one row
 of the document. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,10 @@ from pyspark.sql import functions as F
 from .textcore import U64, Words, batches, mix, slice_hashes, stored
 
 
+COUNTS = ["n_lines", "n_removed", "n_runs"]
+RESERVED = [*COUNTS, "run_doc", "run_digest", "runs"]
+
+
 @dataclass(frozen=True)
 class LineConfig:
     window: int = 3  #: lines in which a least hash is selected; runs of as many lines are found for certain
@@ -111,8 +117,8 @@ def later_windows(docs: DataFrame, config: LineConfig) -> DataFrame:
 def line_dedup(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
     """``docs`` with later runs deleted from text, n_chars brought up to date, and n_lines, n_removed and n_runs added."""
     cut = later_windows(docs, config)
-    counts = ["n_lines", "n_removed", "n_runs"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in [*counts, "run_doc", "run_digest", "runs"]])
+    counts = COUNTS
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESERVED])
     names = docs.columns
     same = F.col("doc_id").eqNullSafe(F.col("run_doc")) & (F.xxhash64("text") == F.col("run_digest"))
     joined = docs.join(cut, same, "left").drop("run_doc", "run_digest")
@@ -153,9 +159,12 @@ def line_dedup(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
 
 
 def emptied_removed(docs: DataFrame, config: LineConfig = LineConfig()) -> DataFrame:
-    """``docs`` after line dedup, without documents all of whose lines were copies."""
-    out = line_dedup(docs, config)
-    return out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*docs.columns)
+    """``docs`` after line dedup, without documents all of whose lines were copies; all columns stay, whatever their names."""
+    mark = uuid.uuid4().hex
+    aside = {c: f"{c}_{mark}" for c in docs.columns if c.lower() in RESERVED}
+    out = line_dedup(docs.withColumnsRenamed(aside), config)
+    out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).drop(*COUNTS)
+    return out.withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)
 
 
 def line_dedup_sql() -> str:

@@ -1,12 +1,15 @@
 """The pipeline, stage by stage, against plain statements of each stage's effect."""
 
 import os
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
 from quotelens.llm import compression, decontamination, ngram_join
-from quotelens.llm.line_dedup import line_dedup
+from quotelens.llm.line_dedup import emptied_removed, line_dedup
+
+from test_operators import HOSTILE, LABELS, frame
 
 DATA = "/root/testdata/sf0.001"
 
@@ -38,3 +41,29 @@ def test_stages(spark, tmp_path):
     assert sorted(last["doc_id"]) == ids(outs[4][0]) and (last["taken"] <= 2 * last["size"]).all()
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(tuple, outs[4][1].collect()))
     assert ngram_join.JoinConfig(5, 80).percent == 80
+
+
+LONG = "".join(f"w{i % 977} " if i % 50 else f"line {i}\n" for i in range(400_000))  # over 1 MiB
+STAGE_FUNCTIONS = {
+    "quality classifier": (lambda s, d: compression.rejected_removed(d, s.createDataFrame([(3, 1, 0), (4, 0, None), (None, 1, 1)], LABELS)), None),
+    "line dedup": (lambda s, d: emptied_removed(d), set()),
+    "n-gram Jaccard join": (lambda s, d: ngram_join.near_duplicates_removed(d, ngram_join.JoinConfig(k=5, percent=80)), None),
+    "benchmark decontamination": (lambda s, d: decontamination.leaked_removed(d, s.createDataFrame([(1, None), (2, ""), (3, "same text here again and again")], "item_id long, text string")), {"same text here again and again"}),
+}
+
+
+@pytest.mark.parametrize("name", STAGE_FUNCTIONS)
+def test_stages_on_hostile_input(spark, name):
+    """Nulls, repeated ids and rows, empty and very long texts, clashing column names, an empty table."""
+    stage, gone = STAGE_FUNCTIONS[name]
+    rows = [*HOSTILE, (10, LONG), (10, "another text under one id")]
+    docs = frame(spark, rows, extra=True)
+    out = stage(spark, docs)
+    assert out.columns == docs.columns
+    kept = Counter((r["doc_id"], r["text"] if r["doc_id"] not in (9, 10) else None) for r in out.collect())
+    every = Counter((i, t if i not in (9, 10) else None) for i, t in rows)
+    assert not kept - every
+    if gone is not None:
+        assert kept == Counter({k: n for k, n in every.items() if k[1] not in gone})
+    assert (10, None) in kept
+    assert stage(spark, frame(spark, [], extra=True)).count() == 0
