@@ -7,6 +7,7 @@ columns used here; the one supplied scores the share of an excerpt's characters
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from ..functions.negation import detect_negation, negations_conflict
 from ..functions.rules import HOLD
 from ..functions.scalars import clamp01
 from ..options import MatchOptions, with_preset
-from .locate import RESULT, _arrays, _fields, _row, blocks, locate
-from .pairs import Matcher
+from .locate import RESULT, _arrays, _fields, _row, blocks, locate, normalized_column
+from .pairs import Matcher, prepare
 
 ENDS = "。！？；.!?;"
 SEGMENT = f"[\\n{HOLD}]*([^\\n{ENDS}]*[{ENDS}]|[^\\n{ENDS}]+)"
@@ -90,12 +91,15 @@ def recall_corpus(docs: DataFrame, excerpts: DataFrame, top_k: int = 3, least: f
                     held[k, [code[c] for c in set(t) if c in code]] = 1
                 ids, places, starts = (b.column(c).to_pylist() for c in ("doc_id", "seg_index", "start"))
                 score = (held @ counts) / length
+                order = sorted(range(len(texts)), key=lambda k: (ids[k] is not None, ids[k], places[k]))
+                rank = np.empty(len(texts), dtype=np.int64)
+                rank[order] = np.arange(len(texts))
                 polarity: dict[int, int] = {}
                 for j, own in enumerate(best):
                     floor = max(least, -own[-1][0]) if len(own) == top_k else least
                     near = np.flatnonzero(score[:, j] >= floor)
                     fresh = 0
-                    for k in sorted(near.tolist(), key=lambda k: (-score[k, j], ids[k] is not None, ids[k], places[k])):
+                    for k in near[np.lexsort((rank[near], -score[near, j]))].tolist():
                         if fresh == top_k:
                             break
                         if not check_polarity or polarity.setdefault(k, len(detect_negation(texts[k])) % 2) == odd[j]:
@@ -119,12 +123,27 @@ def recall_corpus(docs: DataFrame, excerpts: DataFrame, top_k: int = 3, least: f
     return out.withColumn("recall_rank", F.row_number().over(rank) - 1).where(F.col("recall_rank") < top_k)
 
 
+def searched(docs: DataFrame, o: MatchOptions) -> DataFrame:
+    """doc_id and the normalised text of what a document shows, in whose coordinates segments are aligned."""
+    if not (o.markdown or o.cjk_numerals or o.ignore_particles):
+        return docs.select("doc_id", normalized_column("text", o).alias("text"))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            shown = [prepare(t, o).views[0].norm.text if t else t for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shown, pa.string())], names=["doc_id", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+
+
 def locate_or_recall(docs: DataFrame, excerpts: DataFrame, o: MatchOptions | None = None, min_score: float = 0.0, least: float = 0.6) -> DataFrame:
     """All tiers in one call: the hits of ``locate``, and for each excerpt that has none the best of what recall names: a segment
     that aligns, or else the segment itself."""
+    o = o or with_preset()
     hits = locate(docs, excerpts, o, min_score)
     missed = excerpts.join(hits.select("item_id").distinct(), "item_id", "left_anti")
-    recalled = recall_corpus(docs, missed.select("item_id", F.col("text").alias("excerpt")))
+    asked = missed.select("item_id", normalized_column("text", replace(o, markdown=None)).alias("excerpt"))
+    recalled = recall_corpus(searched(docs, o), asked, check_polarity=o.check_polarity)
     last = semantic_matches(docs, recalled, o, least).where("found").where(F.col("score") >= min_score)
     order = Window.partitionBy("item_id").orderBy(F.col("via") != "semantic", F.desc("score"), "doc_id")
     return hits.unionByName(last.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth"))
@@ -143,7 +162,7 @@ def segment_fallback(recalled: DataFrame, by: tuple[str, ...] = ("doc_id", "item
 
 
 def semantic_matches(docs: DataFrame, recalled: DataFrame, o: MatchOptions | None = None, least: float = 0.6) -> DataFrame:
-    """Aligned hits, or segment hits, of recalled pairs, as result rows."""
+    """Aligned hits, or segment hits, of recalled pairs, as result rows; the segments are those of ``searched`` documents."""
     o = o or with_preset()
     ranked = recalled.groupBy("doc_id", "item_id").agg(F.first("excerpt").alias("excerpt"), F.array_sort(F.collect_list(F.struct("recall_rank", "start", "segment", "recall_score"))).alias("segments"))
     rows = ranked.join(docs.select("doc_id", F.col("text").alias("document")), "doc_id")

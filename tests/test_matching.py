@@ -155,6 +155,15 @@ def test_recall_is_the_last_tier(spark):
     assert got == {1: (1, "exact"), 2: (2, "semantic")}
 
 
+@pytest.mark.parametrize("options", [{}, {"markdown": "commonmark"}])
+def test_recalled_segments_keep_their_coordinates(spark, options):
+    body = "Storm  clouds　gathered   ... over 1,234,567 roofs.\n\n**Somebody** in the  long  street saw the grey heron land. "
+    docs = spark.createDataFrame([(1, body * 3), (2, "Quiet."), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "in long street the grey heron land")], "item_id long, text string")
+    row = semantic.locate_or_recall(docs, items, with_preset(**options)).collect()
+    assert len(row) == 1 and row[0]["kind"] == "semantic" and "grey heron land" in row[0]["source"] and len(row[0]["source"]) < 80
+
+
 def test_markers_of_the_innermost_construct():
     o = with_preset(markdown="commonmark")
     text = "See **[link text](http://u)** now, *a **b** c*."
