@@ -64,6 +64,18 @@ def profile_for(locale: str) -> tuple[str, bool, str, str]:
     return ("default", True, "word", locale or "en")
 
 
+def profile_of_locale(locale: Column) -> Column:
+    """``profile_for`` of a column, as a struct of id, granularity and locale."""
+    row = lambda p, name: F.struct(F.lit(p[0]).alias("id"), F.lit(p[2]).alias("granularity"), name.alias("locale"))
+    low = F.lower(locale)
+    base = F.substring_index(low, "-", 1)
+    out = row(PROFILES["default"], F.when(locale == "", "en").otherwise(locale))
+    for key in (base, low):
+        for name, profile in LOCALES.items():
+            out = F.when(key == name, row(PROFILES[profile], F.lit(PROFILES[profile][3]))).otherwise(out)
+    return out
+
+
 def tokens(text: Column, granularity: str) -> Column:
     """Code points, or words; a word of Han or kana alone is taken apart into characters."""
     if granularity == "char":

@@ -8,8 +8,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import negation, particles, scalars
-from ..functions.rules import HOLD, SPACE, ZERO_WIDTH, Lower, Sub, Table, camel_rule, punctuation_table, rules, separators_rule, space_rules, to_column, width_table
+from ..functions import negation, scalars
+from ..functions.rules import HOLD, SPACE, ZERO_WIDTH, Lower, Sub, Table, camel_rule, punctuation_table, rules, separators_rule, to_column, width_table
 from ..operators import locate, semantic
 from ..options import with_preset
 
@@ -211,29 +211,15 @@ def negation_en(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", negation.negation_count(F.col("text")).cast("long").alias("marks"), negation.negated(F.col("text")).alias("negated"))
 
 
-def negation_zh(spark, sf_dir):
-    return _inline(spark).select("id", negation.negation_count(F.col("text")).cast("long").alias("marks"))
-
-
 def polarity_conflict(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", negation.negations_conflict(F.col("text"), F.concat(F.lit("Never "), F.col("text"))).alias("conflict"))
 
 
-def particle_fold(spark, sf_dir):
-    return _inline(spark).select("id", particles.fold_particles(F.col("text")).alias("folded"))
-
-
 def script_profile(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", *[v.cast("long").alias(k) for k, v in scalars.script_counts(F.col("text")).items()])
 
 
-def lang_profile(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("long").alias("id"), "text")
-    both = docs.union(_inline(spark).select((-F.col("id")).cast("long").alias("id"), "text"))
-    return both.select("id", scalars.language_profile(F.col("text")).alias("profile"))
-
-
 def space_between(spark, sf_dir):
     """Whether the space between two neighbours may go, for all pairs around spaces in the inline texts and the conversations."""
     turns = _t(spark, sf_dir, "conversations").select((-F.col("conv_id") * 1000 - F.col("turn") - 1).cast("long").alias("id"), "text")
@@ -294,10 +280,6 @@ def norm_zero_width(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", _digest("norm_md5", to_column(spoilt, [Sub(f"[{ZERO_WIDTH}]", "")])))
 
 
-def norm_space_by_script(spark, sf_dir):
-    return _inline(spark).select("id", to_column(F.col("text"), [Sub(f"[{SPACE}]+", HOLD), *space_rules()]).alias("norm"))
-
-
 def split_segments(spark, sf_dir):
     return semantic.split_segments(_docs(spark, sf_dir)).select("doc_id", F.col("seg_index").cast("long").alias("seg_index"), F.col("start").cast("long").alias("start"), _digest("segment_md5", F.col("segment")))
 
@@ -449,8 +431,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         t0_exact_locate, t0_occurrences, t0_native_join, t0_earliest, t1_normalized_locate, t2_segmented, t2_gap_guard, t2_weak_anchor, t2_implicit, t3_fuzzy, t3_multi_hit, t3_polarity_guard, match_result, miss_rows, best_tier,
-        preset_matrix, negation_en, negation_zh, polarity_conflict, particle_fold, script_profile, lang_profile, space_between, tokenize_char, tokenize_word, grapheme_count, line_number, utf16_offset, norm_number_grouping,
-        norm_identifiers, identifier_breaks, norm_width, norm_zero_width, norm_space_by_script, split_segments, recall_overlap_topk, minmax_scores, segment_fallback, t4_aligned, md_blocks, md_flatten_regex, cross_block, visible_of_markup,
+        preset_matrix, negation_en, polarity_conflict, script_profile, space_between, tokenize_char, tokenize_word, grapheme_count, line_number, utf16_offset, norm_number_grouping,
+        norm_identifiers, identifier_breaks, norm_width, norm_zero_width, split_segments, recall_overlap_topk, minmax_scores, segment_fallback, t4_aligned, md_blocks, md_flatten_regex, cross_block, visible_of_markup,
     )
 } | {
     "norm_case": norm_case, "norm_whitespace": norm_whitespace, "norm_punct_glyphs": norm_punct_glyphs, "norm_camel": norm_camel, "norm_separators": norm_separators, "norm_full": norm_full,
@@ -462,10 +444,6 @@ def _md5(x: str, name: str = "norm_md5") -> str:
     return f"SELECT doc_id, md5({x}) AS {name} FROM documents"
 
 
-def _inline_sql(column: str, values: dict[int, object]) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(v) if isinstance(v, str) else v})" for i, v in values.items()) + f") AS v(id, {column})"
-
-
 _RANGES_SQL = {"digit": "0-9", "thai": "\\x{e00}-\\x{e7f}", "kana": "\\x{3040}-\\x{30ff}", "han": "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}", "hangul": "\\x{ac00}-\\x{d7af}", "latin": "A-Za-z\\x{c0}-\\x{24f}"}
 
 
@@ -491,11 +469,8 @@ ORACLES: dict[str, str] = {
     "match_result": f"WITH h AS ({_HITS_SQL}) SELECT doc_id, item_id, true AS found, cp_index + {_WIDE_SQL.format(x='substring(doc, 1, cp_index)')} AS index, length(needle) + {_WIDE_SQL.format(x='needle')} AS length, 'exact' AS kind, 1.0 AS score, {_COUNT_SQL} AS occurrences, 1 + length(substring(doc, 1, cp_index)) - length(replace(substring(doc, 1, cp_index), chr(10), '')) AS line, md5(needle) AS source_md5 FROM h",
     "miss_rows": "SELECT d.doc_id, b.item_id, contains(d.text, b.text) AS found, CASE WHEN contains(d.text, b.text) THEN 'exact' ELSE 'none' END AS kind, strpos(d.text, b.text) - 1 AS index, CASE WHEN contains(d.text, b.text) THEN length(b.text) ELSE 0 END AS length, CASE WHEN contains(d.text, b.text) THEN 1.0 ELSE 0.0 END AS score, CASE WHEN contains(d.text, b.text) THEN 1 ELSE 0 END AS occurrences, CASE WHEN contains(d.text, b.text) THEN 1 + length(substring(d.text, 1, strpos(d.text, b.text) - 1)) - length(replace(substring(d.text, 1, strpos(d.text, b.text) - 1), chr(10), '')) ELSE -1 END AS line FROM documents d JOIN benchmark b ON d.doc_id = b.item_id",
     "negation_en": f"SELECT doc_id, {_negations_sql('text')} AS marks, {_negations_sql('text')} % 2 = 1 AS negated FROM documents",
-    "negation_zh": _inline_sql("marks", {1: 1, 2: 0, 3: 2, 4: 0, 5: 0, 6: 2, 7: 0, 8: 1, **dict.fromkeys(range(9, 21), 0)}),
     "polarity_conflict": f"SELECT conv_id, turn, ({_negations_sql('text')}) % 2 <> ({_negations_sql(chr(39) + 'Never ' + chr(39) + ' || text')}) % 2 AS conflict FROM conversations",
-    "particle_fold": _inline_sql("folded", {i: {10: "慢慢的走", 11: "跑的快，值得"}.get(i, t) for i, t in ROWS}),
     "script_profile": "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(substring(text, 1, 2000), '[{r}]')) AS {n}" for n, r in (("han", "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}"), ("kana", "\\x{3040}-\\x{30ff}"), ("hangul", "\\x{ac00}-\\x{d7af}"), ("thai", "\\x{e00}-\\x{e7f}"), ("latin", "A-Za-z\\x{c0}-\\x{24f}"))) + " FROM documents",
-    "lang_profile": "SELECT doc_id AS id, 'default' AS profile FROM documents UNION ALL " + " UNION ALL ".join(f"SELECT {-i}, '{'ko' if i == 13 else 'th' if i == 14 else 'ja' if i == 15 else 'default' if i in (8, 17, 18, 19, 20) else 'cjk'}'" for i, _ in ROWS),
     "tokenize_char": "SELECT doc_id, length(text) AS n FROM documents",
     "tokenize_word": f"SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN_SQL}')) AS n_tokens, len(list_filter(regexp_extract_all(text, '{_TOKEN_SQL}'), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) AS n_words FROM documents",
     "grapheme_count": f"SELECT doc_id AS id, length_grapheme(text) AS graphemes FROM documents UNION ALL SELECT -id, length_grapheme(text) FROM {_values()}",
@@ -506,7 +481,6 @@ ORACLES: dict[str, str] = {
     "identifier_breaks": f"SELECT page_id, len(regexp_extract_all(url, '[a-z0-9][A-Z]')) AS inserts, len(regexp_extract_all({_SEPARATED.format(x='url', to='~~')}, '~~')) - len(regexp_extract_all(url, '~~')) AS replaces FROM pages",
     "norm_width": _md5(f"translate(translate(text, {_q(ASCII)}, {_q(FULL_WIDTH)}), {_q(FULL_WIDTH)}, {_q(ASCII)})"),
     "norm_zero_width": _md5(f"regexp_replace(replace(text, 'e', 'e' || chr(8203) || chr(173)), '{_ZERO_SQL}', '', 'g')"),
-    "norm_space_by_script": _inline_sql("norm", {i: {8: "I\x01don't\x01know", 13: "한국어\x01문장\x01입니다", 14: "ภาษาไทย\x01ทดสอบ", 15: "日本語のテキストです", 16: "中文AI中文", 17: "a😀b\x01👍🏽\x01c", 18: "👨‍👩‍👧\x01family", 19: "é\x01é\x01x"}.get(i, t) for i, t in ROWS}),
     "split_segments": _SEGMENTS_SQL + " SELECT doc_id, seg_index, start, md5(segment) AS segment_md5 FROM seg",
     "recall_overlap_topk": _RECALL_SQL + " SELECT doc_id, item_id, seg_index, recall_rank, round(recall_score, 9) AS recall_score FROM t",
     "minmax_scores": _RECALL_SQL + " SELECT doc_id, item_id, recall_rank, round(norm_score, 9) AS norm_score FROM n",
