@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .memory import release
+from .memory import release, trimmed
 from .textcore import U64, Words, _BASE, batches, bucket_count, mix, pack, unpack
 
 END, START = U64(1), U64(2)
@@ -131,7 +131,7 @@ def frequent_histories(docs: DataFrame, partitions: int, config: KatzConfig) ->
             at = np.flatnonzero(counts >= share * total)
             yield pa.RecordBatch.from_pydict({"key": pa.array([0, *keys[at].view(np.int64)], pa.int64()), "n": pa.array([total, *counts[at]], pa.int64())})
 
-    rows = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(trimmed(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     total = rows.where("key = 0").agg(F.sum("n")).first()[0] or 0
     found = rows.where((F.col("key") != 0) & (F.col("n") >= share * total)).select("key")
     return np.sort(np.array([r["key"] for r in found.toLocalIterator()], dtype=np.int64).view(U64))
@@ -184,7 +184,7 @@ def _deal(frequent, partitions: int, config: KatzConfig):
         if held:
             yield from out()
 
-    return run
+    return trimmed(run)
 
 
 class Part:
@@ -276,9 +276,9 @@ def katz_scores(docs: DataFrame, config: KatzConfig = KatzConfig()) -> DataFrame
             yield int(a[0][0]), pack(a[1], total[inverse[at : at + len(a[1])]])
             at += len(a[1])
 
-    asked = table.mapPartitionsWithIndex(ask)
+    asked = table.mapPartitionsWithIndex(trimmed(ask))
     requests = asked.filter(lambda r: r[0] >= 0).partitionBy(n, identity)
-    answered = requests.mapPartitions(answer)
+    answered = requests.mapPartitions(trimmed(answer))
     replies = answered.filter(lambda r: r[0] >= 0).partitionBy(n, identity)
     sums = lambda rdd: rdd.filter(lambda r: r[0] < 0).map(lambda r: np.frombuffer(r[1], dtype=np.int64)).treeReduce(np.add)
     if docs.isEmpty():
@@ -302,14 +302,14 @@ def katz_scores(docs: DataFrame, config: KatzConfig = KatzConfig()) -> DataFrame
     both = table.glom().zip(replies.glom())
     hot = frequent.value
 
-    def parts(pair) -> list:
+    def parts(pair) -> Iterator[tuple]:
         own, c = joined(*pair)
         at, _, count, kept, seen = own.histories(unigrams.p(c), d2)
         held = np.flatnonzero(np.isin(at, hot))
-        return [(int(at[i]), (count[i], kept[i], seen[i])) for i in held]
+        yield from ((int(at[i]), (count[i], kept[i], seen[i])) for i in held)
 
     # One row per frequent history and part: at most partitions / frequent x split.
-    whole = dict(both.flatMap(parts).reduceByKey(lambda a, b: tuple(x + y for x, y in zip(a, b))).collect()) if len(hot) else {}
+    whole = dict(both.flatMap(trimmed(parts)).reduceByKey(lambda a, b: tuple(x + y for x, y in zip(a, b))).collect()) if len(hot) else {}
     keys = np.array(sorted(whole), dtype=U64)
     shared = context.broadcast((keys, np.array([whole[int(k)] for k in keys]).reshape(-1, 3)))
 
@@ -354,7 +354,7 @@ def katz_scores(docs: DataFrame, config: KatzConfig = KatzConfig()) -> DataFrame
         kind = pa.int32() if "int," in schema.split("held_out")[0].replace("bigint,", "") else pa.int64()
         return pa.table({"doc_id": pa.array(ids, mask=null).cast(kind), "held_out": pa.array(away), "n_tokens": out[0], "n_known": out[1], "train_tokens": np.full(len(ids), total, dtype=np.int64), "base_score": out[2], "score": out[3]})
 
-    rows = spark.createDataFrame(both.flatMap(evaluate), "chunk bigint, blob binary")
+    rows = spark.createDataFrame(both.flatMap(trimmed(evaluate)), "chunk bigint, blob binary")
     return rows.groupBy("chunk").applyInArrow(gather, schema)
 
 
