@@ -6,6 +6,8 @@ subset of CommonMark with tables, strike-through and front matter.
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -351,4 +353,39 @@ def trim_edges(text: str, at: int, length: int) -> tuple[int, int]:
     return at, end - at
 
 
+class CachedFlattener:
+    """A flattener that keeps its last results, by document id where one is known and by the text itself otherwise.
+
+    Texts of one id are taken to be the same, so ``flatten_by_id`` does not look at the text of an id it holds. Options of a
+    match have no part in the key: other options do not flatten again.
+    """
+
+    def __init__(self, base: Callable[[str], Flat], most: int = 32, id_of: Callable[[str], str | None] | None = None):
+        self.base, self.most, self.id_of = base, most, id_of
+        self.held: OrderedDict[tuple[str, str], Flat] = OrderedDict()
+
+    def _kept(self, key: tuple[str, str], src: str) -> Flat:
+        if key not in self.held:
+            self.held[key] = self.base(src)
+            if len(self.held) > self.most:
+                self.held.popitem(last=False)
+        self.held.move_to_end(key)
+        return self.held[key]
+
+    def flatten(self, src: str) -> Flat:
+        name = self.id_of(src) if self.id_of else None
+        return self._kept(("text", src) if name is None else ("id", name), src)
+
+    __call__ = flatten
+
+    def flatten_by_id(self, name: str, src: str) -> Flat:
+        return self._kept(("id", name), src)
+
+    def clear(self) -> None:
+        self.held.clear()
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+
 FLATTENERS = {"commonmark": flatten, "regex": regex_flatten}

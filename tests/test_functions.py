@@ -158,3 +158,36 @@ def test_markdown():
     assert MD[slice(*markdown.expand_to_markers(f, at, f.text.index(" text") + 4, *f.trace.span(at, f.text.index(" text") + 5)))] == "**bold _in_ text**"
     assert markdown.regex_flatten("# A **b** [c](d)\n&lt;").text == "A b c\n<"
     assert markdown.trim_edges("**a**", 0, 5) == (2, 1) and markdown.joined(markdown.identity_flat("ab")) is None
+
+
+def test_capabilities():
+    from quotelens.capabilities import assembled, capabilities, capability, register_capability
+
+    assert capabilities()["fuzzy"] and capability("fuzzy") is capability("fuzzy")
+    register_capability("absent", "no_such_module", "thing")
+    assert capability("absent") is None and not capabilities()["absent"]
+    assert assembled().fallbacks == ("bitap",) and assembled().markdown == "commonmark"
+    assert assembled("strict").fallbacks == () and assembled(markdown=None).markdown is None
+    assert assembled(cjk_numerals=True).cjk_numeral_parser("十二", 0) == (12, 2)
+
+
+def test_word_segmenter():
+    from quotelens.functions.segmenters import word_segmenter
+
+    assert word_segmenter("zh-CN")("短句") == [(0, "短"), (1, "句")]
+    assert word_segmenter("fr")("un chat") == [(0, "un"), (3, "chat")]
+    assert word_segmenter("en") is word_segmenter("not a locale!") and word_segmenter("FR") is word_segmenter("fr")
+
+
+def test_cached_flattener():
+    from quotelens.functions.markdown import CachedFlattener, flatten
+
+    calls = []
+    cached = CachedFlattener(lambda s: calls.append(s) or flatten(s), most=2)
+    assert cached("*a*").text == cached.flatten("*a*").text == flatten("*a*").text and calls == ["*a*"]
+    assert cached.flatten_by_id("d", "b") is cached.flatten_by_id("d", "other") and len(cached) == 2
+    cached("c")
+    cached("*a*")
+    assert calls == ["*a*", "b", "c", "*a*"]
+    cached.clear()
+    assert len(cached) == 0
