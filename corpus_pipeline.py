@@ -12,7 +12,7 @@ from quotelens.llm.decontamination import leaked_removed
 from quotelens.llm.line_dedup import emptied_removed
 from quotelens.llm.mixing import mix_documents
 from quotelens.llm.ngram_join import JoinConfig, near_duplicates_removed
-from quotelens.llm.textcore import discard_paths, free_shuffles, shared_dir, stored_tables, table
+from quotelens.llm.textcore import discard_paths, free_shuffles, shared_dir, stored, stored_tables, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,8 +23,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of runs of lines; those that were copies throughout go."""
-    return emptied_removed(docs)
+    """Documents without later copies of runs of lines; those that were copies throughout go.
+
+    They are stored: whoever holds the frame while the next stage runs would else hold the texts' shuffle files too.
+    """
+    out = stored(emptied_removed(docs))
+    free_shuffles(spark)
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

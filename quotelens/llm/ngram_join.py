@@ -48,6 +48,8 @@ class JoinConfig:
     levels: int = 6  #: levels of pivots at most; what is still too large then is joined by blocks
     few: int = 32  #: groups of one signature up to this size are compared pair by pair, larger ones up to region_rows by pivots
     sample: int = 8000  #: documents in which common shingles are looked for
+    round_pairs: int = 8_000_000  #: candidate pairs are judged so many at a time, since they are on disk meanwhile,
+    pairs_a_node: int = 8  #: or so many for each node, if that is more
 
 
 def classes(config: JoinConfig, most: int) -> list[tuple[int, int, int, int]]:
@@ -57,7 +59,9 @@ def classes(config: JoinConfig, most: int) -> list[tuple[int, int, int, int]]:
     while lo <= most:
         hi = max(lo, lo * 10000 // (t * t))
         differ = 2 * hi * (100 - t) // (100 + t)
-        out.append((lo, hi, differ, differ + 2 + differ // 12))
+        # The smallest sets of a class fill more than ``differ`` parts only if there are some to spare, else their signatures
+        # are single shingles, which meet by chance the more often the more documents there are.
+        out.append((lo, hi, differ, differ + 2 + differ // (12 if t >= 90 else 4)))
         lo = hi + 1
     return out
 
@@ -73,7 +77,7 @@ def signatures(items: np.ndarray, config: JoinConfig, table: list[tuple[int, int
     """
     n, t = len(items), config.percent
     out: list[np.ndarray] = []
-    own, needs = -1, [0, 0]
+    own, needs = -1, [0, -1]
     known = common[np.minimum(np.searchsorted(common, items), len(common) - 1)] == items if len(common) else np.zeros(n, dtype=bool)
     fallback = False
     for c, (lo, hi, differ, parts) in enumerate(table):
@@ -83,6 +87,7 @@ def signatures(items: np.ndarray, config: JoinConfig, table: list[tuple[int, int
         if lo > max(n, 100 * n // t):
             break
         if not differ:
+            needs[min(c - own, 1)] = 0
             continue
         h = mix(items + U64(c + 1))
         part = ((h >> U64(32)) * U64(parts)) >> U64(32)
@@ -97,7 +102,8 @@ def signatures(items: np.ndarray, config: JoinConfig, table: list[tuple[int, int
     if fallback:
         rarest = items[np.lexsort((items, known))]
         out.append(mix(rarest[: n - -(-t * n // 100) + 1] + U64(0x5BD1E995)))
-    return (np.concatenate(out) if out else items[:0]), own, needs[0], needs[1]
+    # A set that no set of the next class can be linked to needs as much there as in its own.
+    return (np.concatenate(out) if out else items[:0]), own, needs[0], needs[1] if needs[1] >= 0 else needs[0]
 
 
 def common_shingles(docs: DataFrame, config: JoinConfig) -> np.ndarray:
@@ -265,13 +271,11 @@ def possible(found: DataFrame, rows: DataFrame, config: JoinConfig) -> DataFrame
     facts = found.where("kind >= 16").groupBy("a").agg(F.first("b").alias("n"), F.first(F.col("kind")).alias("c"), F.first("n").alias("own"), F.first("m").alias("next"))
     # Signatures that a node has in larger groups are not counted pair by pair.
     away = found.where("kind IN (1, 2)").groupBy("a").agg(F.sum("n").alias("away"))
-    facts = facts.join(away, "a", "left").fillna(0, ["away"])
+    facts = stored(facts.join(away, "a", "left").fillna(0, ["away"]))
     side = lambda k: facts.select(F.col("a").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "c", "own", "next", "away")))
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("met")).join(side("a"), "a").join(side("b"), "b")
     up = lambda x, y: F.greatest(F.when(F.col(f"c_{y}") == F.col(f"c_{x}") + 1, F.col(f"next_{x}")).otherwise(0), F.col(f"own_{y}"))
     need = F.when(F.col("c_a") == F.col("c_b"), F.greatest("own_a", "own_b")).when(F.col("c_a") < F.col("c_b"), up("a", "b")).otherwise(up("b", "a"))
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * config.percent
-    pairs = pairs.where(fits & (F.col("met") >= need - F.least("away_a", "away_b"))).select("a", "b")
     seen = rows.where("node is not null").groupBy("node").agg(F.first("profile").alias("profile"), F.first("n_shingles").alias("n"))
     left = seen.select(F.col("node").alias("a"), F.col("profile").alias("pa"), F.col("n").alias("na"))
     right = seen.select(F.col("node").alias("b"), F.col("profile").alias("pb"), F.col("n").alias("nb"))
@@ -302,7 +306,23 @@ def possible(found: DataFrame, rows: DataFrame, config: JoinConfig) -> DataFrame
         keep = root[label] != node
         return pa.table({"a": node[keep], "b": root[label][keep]})
 
-    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(judge, "a bigint, b bigint")
+    def judged(met: DataFrame) -> DataFrame:
+        """Pairs of ``met``. Pairs that meet by chance grow with the square of the documents: what one side alone rules out is
+        dropped before the pairs are dealt a second time."""
+        one = met.select("a", "b", F.col("n").alias("met")).join(side("a"), "a").groupBy("a", "b").agg(F.sum("met").alias("met"), *(F.first(c).alias(c) for c in ("n_a", "c_a", "own_a", "next_a", "away_a")))
+        one = one.where(F.col("met") >= F.least("own_a", "next_a") - F.col("away_a"))
+        pairs = one.join(side("b"), "b").where(fits & (F.col("met") >= need - F.least("away_a", "away_b"))).select("a", "b")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(judge, "a bigint, b bigint")
+
+    met = found.where("kind = 0")
+    rounds = max(1, -(-met.count() // max(config.round_pairs, config.pairs_a_node * facts.count())))
+    if rounds == 1:
+        pairs = judged(met)
+    else:
+        for i in range(rounds):
+            part = stored(judged(met.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == i)))
+            pairs = part if not i else pairs.union(part)
+            free_shuffles(found.sparkSession)
     groups = found.where("kind = 1").join(left, "a").select("a", F.col("b").alias("sig"), "pa", "na").groupBy("sig").applyInArrow(pivot, "a bigint, b bigint")
     return pairs.union(groups).union(found.where("kind = 2").select("a", "b"))
 

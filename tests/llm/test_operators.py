@@ -191,6 +191,38 @@ def test_join_against_all_pairs(spark, config):
     assert kept == {i for i in sets if root(i) == i}
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_smallest_sets_of_a_class_have_signatures_of_parts(percent):
+    """Sets that may be linked to the next size class are told by parts there, not by single shingles that meet by chance."""
+    config, rng = ngram_join.JoinConfig(5, percent), np.random.default_rng(3)
+    table = ngram_join.classes(config, 1 << 20)
+    sizes = [-(-percent * lo // 100) for lo, *_ in table if 150 < lo < 3000]
+    needs = [ngram_join.signatures(np.sort(rng.integers(0, 1 << 62, n).astype(np.uint64)), config, table, np.zeros(0, dtype=np.uint64))[3] for n in sizes for _ in range(20)]
+    assert sizes and np.mean(np.array(needs) == 0) < 0.1
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_join_in_rounds_against_all_pairs(spark, percent):
+    rnd = random.Random(13)
+    base = [words(rnd, n) for n in (12, 16, 30, 33, 90, 110, 140)]
+    rows = []
+    for i in range(200):
+        w = [*rnd.choice(base)][: rnd.choice([None, None, -1, -9])]
+        for _ in range(rnd.randrange(0, 3)):
+            w[rnd.randrange(len(w))] = rnd.choice(base[2])
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} for i, t in rows for w in [t.lower().split()]}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    config = ngram_join.JoinConfig(3, percent, round_pairs=150, pairs_a_node=0)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(frame(spark, rows), config).collect()}
+    assert got == root and len(set(root.values())) < 190
+
+
 def test_near_duplicates_are_removed_by_row_not_by_id(spark):
     rnd = random.Random(11)
     alone = [" ".join(words(rnd, 40)) for _ in range(8)]

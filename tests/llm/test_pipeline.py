@@ -43,6 +43,13 @@ def test_stages(spark, tmp_path):
     assert ngram_join.JoinConfig(5, 80).percent == 80
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_line_dedup_leaves_no_shuffle_files_to_the_next_stage(spark):
+    """Its frame may be held while the next stage runs; shuffle files of the whole texts would be held with it."""
+    out = dict(corpus_pipeline.STAGES)["line dedup"](spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+    assert out.count() and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 LONG = "".join(f"w{i % 977} " if i % 50 else f"line {i}\n" for i in range(400_000))  # over 1 MiB
 STAGE_FUNCTIONS = {
     "quality classifier": (lambda s, d: compression.rejected_removed(d, s.createDataFrame([(3, 1, 0), (4, 0, None), (None, 1, 1)], LABELS)), None),
