@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import negation, particles, scalars
 from ..functions.rules import HOLD, SPACE, Sub, space_rules, to_column, trace
-from ..operators.locate import match_pairs
-from ..operators.pairs import normalize, snap
+from ..operators.locate import match_pairs, parallel
+from ..operators.pairs import normalize, snapped
 from ..options import with_preset
 from ..sources import hits, misses, prepare
 from .queries import _RANGES_SQL, _SPACE_SQL, ROWS, _digest, _docs, _inline, _norm, _negations_sql, _q, _t, _values
@@ -17,6 +17,8 @@ from .queries import _RANGES_SQL, _SPACE_SQL, ROWS, _digest, _docs, _inline, _no
 NEGATION_SIGNS = "".join(sorted({c for w in negation.CHINESE_NEGATION_WORDS | negation.CHINESE_NON_NEGATION_WORDS for c in w})) + "我去"
 PARTICLE_SIGNS = "".join(sorted({c for w in particles.SOLID_WORDS for c in w})) + "的地得" * 12
 SCRIPT_SIGNS = "中文あア한국ไทaé17.  　    "
+#: Rows of ``snap_span`` that a worker hands on at once, or those of one text.
+SPAN_ROWS = 1 << 18
 LOCALES = ("zh", "ZH-tw", "ja", "ko", "th", "en", "fr", "zh-Hant")
 
 
@@ -101,15 +103,30 @@ def norm_spans(spark, sf_dir):
 
 
 def snap_span(spark, sf_dir):
-    """Every single code point of the inline texts, the conversations and part names, widened to its grapheme cluster."""
+    """Every single code point of the inline texts and the conversations, widened to its grapheme cluster."""
+    import numpy as np
     import pyarrow as pa
 
-    turns = _t(spark, sf_dir, "conversations").select((-F.col("conv_id") * 1000 - F.col("turn") - 1).cast("long").alias("id"), "text")
+    turns = parallel(_t(spark, sf_dir, "conversations").select((-F.col("conv_id") * 1000 - F.col("turn") - 1).cast("long").alias("id"), "text"))
+
+    def made(ids, at: list[int], spans: list) -> pa.RecordBatch:
+        sizes = [len(lo) for lo, _ in spans]
+        columns = ([np.arange(n) for n in sizes], *zip(*spans))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(at, sizes))), *(pa.array(np.concatenate(c), pa.int64()) for c in columns)], names=["id", "cp", "lo", "hi"])
 
     def run(source):
         for b in source:
-            rows = [(i, k, *snap(t, k, k + 1)) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()) for k in range(len(t or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [()] * 4)], names=["id", "cp", "lo", "hi"])
+            at, spans, size = [], [], 0
+            for row, t in enumerate(b.column("text").to_pylist()):
+                if t:
+                    at.append(row)
+                    spans.append(snapped(t))
+                    size += len(t)
+                if size >= SPAN_ROWS:
+                    yield made(b.column("id"), at, spans)
+                    at, spans, size = [], [], 0
+            if at:
+                yield made(b.column("id"), at, spans)
 
     return _inline(spark).select(F.col("id").cast("long").alias("id"), "text").union(turns).mapInArrow(run, "id bigint, cp bigint, lo bigint, hi bigint")
 

@@ -1,14 +1,16 @@
 """The ladder on single pairs, and the corpus operators against it."""
 
 import random
+import time
 
 import pytest
+import regex
 
 from pyspark.sql import functions as F
 
 from quotelens.functions.negation import detect_negation
 from quotelens.operators import locate, semantic
-from quotelens.operators.pairs import Matcher
+from quotelens.operators.pairs import Matcher, snap, snapped
 from quotelens.options import with_preset
 from quotelens.sources import hits, misses, prepare, read_documents
 from quotelens.streaming import route, stream_documents, stream_pairs
@@ -204,3 +206,27 @@ def test_sources_and_streams(spark, corpus, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table("found").count() == 2
+
+
+def test_snap_walks_once_and_to_the_ends_of_long_clusters():
+    texts = ["", "ab\r\nc", "中文é́ 한국어", "ab \r\n؀a👍🏽ทดสอบ", "x" + "🇫🇷" * 90 + "🇩🇪🇫", "ae" + "\u0301" * 150 + "b", "क्षि" * 40]
+    for t in texts:
+        ends = [m.end() for m in regex.finditer(r"\X", t)]
+        whole = [(lo, hi) for lo, hi in zip([0, *ends], ends) for _ in range(lo, hi)]
+        lo, hi = snapped(t)
+        assert list(zip(lo.tolist(), hi.tolist())) == whole == [snap(t, k, k + 1) for k in range(len(t))]
+        assert all(snap(t, a, b) == (whole[a][0], whole[b - 1][1]) for a in range(0, len(t), 7) for b in range(a + 1, len(t) + 1, 5))
+    assert snap("abc", -5, 99) == (0, 3) and snap("e\u0301", 1, 1) == (1, 1)
+
+
+def test_snap_span_takes_a_worker_no_longer_than_its_text(spark, tmp_path):
+    """Batches are of bounded size, and no code point is looked at again for its neighbours."""
+    from quotelens.plans.strings import SPAN_ROWS, snap_span
+
+    rows = [(i, 0, "e\u0301 " * 50_000 if i % 2 else "plain " * 25_000) for i in range(8)] + [(8, 0, None), (9, 0, ""), (None, 1, "a\r\n")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    began = time.time()
+    got = snap_span(spark, str(tmp_path)).where("id is null or id <= 0")
+    assert got.count() == 8 * 150_000 + 3 and time.time() - began < 30
+    assert sorted(tuple(r) for r in got.where("id is null").collect()) == [(None, 0, 0, 1), (None, 1, 1, 3), (None, 2, 1, 3)]
+    assert got.where("id = -1001").groupBy().agg(F.sum(F.col("hi") - F.col("lo"))).first()[0] == 50_000 * 5 and SPAN_ROWS < 1_200_000
