@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.markdown import flatten, joined
-from ..operators.locate import match_pairs
+from ..operators.locate import match_pairs, match_pairs_by
 from ..options import with_preset
 from .queries import _LINES_SQL, _digest, _docs, _markup
 
@@ -81,11 +81,9 @@ def block_limits(spark, sf_dir):
     md = _markup(spark, sf_dir).where("n_lines >= 2")
     two = F.slice(F.split("plain", "\n"), 1, 2)
     pairs = md.select("doc_id", F.col("md").alias("document"), F.array_join(two, " ").alias("excerpt"))
-    out = None
-    for name, limit in (("any", float("inf")), ("two", 2), ("one", 1)):
-        part = match_pairs(pairs, with_preset(markdown="commonmark", max_cross_blocks=limit), keys=["doc_id"]).select("doc_id", F.lit(name).alias("limit"), "kind", F.coalesce("crosses_blocks", F.lit(False)).alias("crosses_blocks"))
-        out = part if out is None else out.union(part)
-    return out
+    limits = {"any": float("inf"), "two": 2, "one": 1}
+    found = match_pairs_by(pairs, {k: with_preset(markdown="commonmark", max_cross_blocks=v) for k, v in limits.items()}, "limit", keys=["doc_id"])
+    return found.select("doc_id", "limit", "kind", F.coalesce("crosses_blocks", F.lit(False)).alias("crosses_blocks"))
 
 
 QUERIES = {f.__name__: f for f in (md_policy, md_joined, marker_spans, block_limits)}

@@ -230,3 +230,51 @@ def test_snap_span_takes_a_worker_no_longer_than_its_text(spark, tmp_path):
     assert got.count() == 8 * 150_000 + 3 and time.time() - began < 30
     assert sorted(tuple(r) for r in got.where("id is null").collect()) == [(None, 0, 0, 1), (None, 1, 1, 3), (None, 2, 1, 3)]
     assert got.where("id = -1001").groupBy().agg(F.sum(F.col("hi") - F.col("lo"))).first()[0] == 50_000 * 5 and SPAN_ROWS < 1_200_000
+
+
+@pytest.fixture
+def counted(monkeypatch):
+    """Texts that are flattened and normalised, in order."""
+    from quotelens.operators import pairs
+
+    seen = {"flat": [], "norm": []}
+    flatten, normalize = pairs.flatten, pairs.normalize
+    monkeypatch.setitem(pairs._FLATTENED, "commonmark", lambda t: seen["flat"].append(t) or flatten(t))
+    monkeypatch.setattr(pairs, "normalize", lambda t, o: seen["norm"].append(t) or normalize(t, o))
+    return seen
+
+
+def test_options_of_the_result_share_a_prepared_document(counted):
+    """Limits of blocks, signs at edges and fallbacks come after preparation: one flattening, one normalisation a view and excerpt."""
+    md = f"# First line {random.random()}\n\n**Second** line\n\n- third"
+    options = [{"max_cross_blocks": float("inf")}, {"max_cross_blocks": 2}, {"expand_markers": False}, {"trim_markdown_edges": True}, {"max_gap": 7}]
+    kinds = [Matcher(with_preset(markdown="commonmark", **o)).match("Second line third", md)["kind"] for o in options]
+    assert kinds == ["normalized"] * 5 and len(counted["flat"]) == 1 and len(counted["norm"]) == 3
+    assert Matcher(with_preset(markdown="commonmark", max_cross_blocks=1)).match("Second line third", md)["kind"] == "none" and len(counted["norm"]) == 3
+    assert Matcher(with_preset(markdown="commonmark", ignore_case=False)).match("second line third", md)["kind"] == "none" and len(counted["flat"]) == 2 and len(counted["norm"]) == 6
+
+
+def test_match_pairs_by_is_match_pairs_for_each(spark):
+    rows = [(1, PAGE, "bold text"), (2, PAGE, "here. Next"), (None, PAGE, "absent"), (2, PAGE, "here.Next"), (3, None, "x"), (4, "**a**", None), (5, "", "")]
+    pairs = spark.createDataFrame(rows, "id int, document string, excerpt string")
+    options = {"any": with_preset(markdown="commonmark"), "one": with_preset(markdown="commonmark", max_cross_blocks=1), "plain": with_preset()}
+    got = [tuple(r) for r in locate.match_pairs_by(pairs, options, "which").collect()]
+    want = [(r[0], k, *r[1:]) for k, o in options.items() for r in locate.match_pairs(pairs, o).collect()]
+    assert len(got) == 21 and sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_rules_on_points_match_their_patterns():
+    from quotelens.functions import rules
+
+    draw = random.Random(4)
+    spaces, drop = rules.space_rules()[0], rules.space_rules(False)[0]
+    subs = [spaces, drop, rules.Sub(f"[{rules.SPACE}]+", rules.HOLD), rules.Sub(f"[{rules.ZERO_WIDTH}]", ""), rules.grouping_rule(), rules.camel_rule(), rules.Sub("[ab]+", "<>"), rules.Sub("[^a]", "-")]
+    for _ in range(400):
+        t = "".join(draw.choice(["a", "B", "1", "234", ",", " ", "\n", "中", "あ", "한", "ไ", "😀", "\u200b", *[rules.HOLD] * 4]) for _ in range(draw.randint(0, 14)))
+        for rule in subs:
+            spans = [m.span() for m in regex.finditer(rule.pattern, t)]
+            got = rules.trace(t, [rule])
+            assert got.text == regex.sub(rule.pattern, lambda m, to=rule.to: to, t)
+            inside = {i for a, b in spans for i in range(a, b)}
+            want = sorted([(i, i + 1, 0) for i in range(len(t)) if i not in inside] + [(a, b if b > a else a, -1) for a, b in spans for _ in rule.to], key=lambda x: (x[0], x[2]))
+            assert list(zip(got.start.tolist(), got.end.tolist())) == [x[:2] for x in want]
