@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.markdown import flatten, joined
-from ..operators.locate import match_pairs, match_pairs_by
+from ..operators.locate import match_pairs_by
 from ..options import with_preset
 from .queries import _LINES_SQL, _digest, _docs, _markup
 
@@ -69,11 +69,9 @@ def md_joined(spark, sf_dir):
 def marker_spans(spark, sf_dir):
     """The bold first word of every document: its span with its signs, without them, and with signs at the edges trimmed."""
     pairs = _markup(spark, sf_dir).select("doc_id", F.col("md").alias("document"), F.regexp_extract("plain", r"^\S+", 0).alias("excerpt"))
-    out = None
-    for mode, explicit in (("expand", {}), ("plain", {"expand_markers": False}), ("trim", {"trim_markdown_edges": True})):
-        part = match_pairs(pairs, with_preset(markdown="commonmark", **explicit), keys=["doc_id"]).select("doc_id", F.lit(mode).alias("mode"), "kind", "cp_index", "cp_length", F.md5("source").alias("source_md5"), F.md5("text").alias("text_md5"))
-        out = part if out is None else out.union(part)
-    return out
+    modes = {"expand": {}, "plain": {"expand_markers": False}, "trim": {"trim_markdown_edges": True}}
+    found = match_pairs_by(pairs, {k: with_preset(markdown="commonmark", **v) for k, v in modes.items()}, "mode", keys=["doc_id"])
+    return found.select("doc_id", "mode", "kind", "cp_index", "cp_length", F.md5("source").alias("source_md5"), F.md5("text").alias("text_md5"))
 
 
 def block_limits(spark, sf_dir):

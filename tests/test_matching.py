@@ -238,6 +238,8 @@ def counted(monkeypatch):
     from quotelens.operators import pairs
 
     seen = {"flat": [], "norm": []}
+    pairs.prepared.cache_clear()
+    pairs._needle.cache_clear()
     flatten, normalize = pairs.flatten, pairs.normalize
     monkeypatch.setitem(pairs._FLATTENED, "commonmark", lambda t: seen["flat"].append(t) or flatten(t))
     monkeypatch.setattr(pairs, "normalize", lambda t, o: seen["norm"].append(t) or normalize(t, o))
@@ -278,3 +280,11 @@ def test_rules_on_points_match_their_patterns():
             inside = {i for a, b in spans for i in range(a, b)}
             want = sorted([(i, i + 1, 0) for i in range(len(t)) if i not in inside] + [(a, b if b > a else a, -1) for a, b in spans for _ in rule.to], key=lambda x: (x[0], x[2]))
             assert list(zip(got.start.tolist(), got.end.tolist())) == [x[:2] for x in want]
+
+
+def test_an_exact_hit_normalises_nothing(counted):
+    """Modes of the span of a verbatim hit: the document is flattened once, and no view of it is normalised."""
+    md = f"# **Bold** {random.random()}\n\n**Second** line"
+    spans = [Matcher(with_preset(markdown="commonmark", **o)).match("Bold", md) for o in ({}, {"expand_markers": False}, {"trim_markdown_edges": True})]
+    assert [(m["kind"], m["cp_index"], m["cp_length"]) for m in spans] == [("exact", 2, 8), ("exact", 4, 4), ("exact", 4, 4)]
+    assert counted["flat"] == [md] and counted["norm"] == []
